@@ -21,7 +21,7 @@ from folioforge.session import table
 LANGS = ("en", "ko", "de", "fr", "es", "ja")
 #: Bound of the training sample: files, and paragraphs of a file.
 TRAIN_FILES, TRAIN_PARAGRAPHS = 2_000, 6
-#: Slots (a byte each) and hash functions of the filters.
+#: Slots (a byte each, a power of two) and hash functions of the filters.
 SLOTS, HASHES = 1 << 20, 3
 #: An n-gram belongs to a language if its share there is at least this part of its largest share anywhere.
 SHARE_OF_MOST = 0.02
@@ -108,7 +108,7 @@ def _slots(keys: np.ndarray) -> Iterator[np.ndarray]:
         x ^= x >> np.uint64(31)
         step = (x >> np.uint64(40)) | np.uint64(1)
         for i in range(HASHES):
-            yield ((x + np.uint64(i) * step) % np.uint64(SLOTS)).astype(np.int64)
+            yield ((x + np.uint64(i) * step) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 class LanguageFilters:
@@ -182,12 +182,16 @@ def classify(text: str, filters: LanguageFilters) -> list[tuple[int, int, str |
     if not spans:
         return []
     ends = np.array([e for _, e in spans])
-    share, n, letters = _shares(text, ends, filters)
     bare = _INSET.sub(lambda m: " " * len(m.group()), text)
+    share, n, letters = _shares(bare, ends, filters)
     if bare != text:
-        share2, n2, letters2 = _shares(bare, ends, filters)
-        use = letters2 >= np.maximum(6, letters / 5)
-        share, n = np.where(use[:, None], share2, share), np.where(use, n2, n)
+        own = np.searchsorted(ends, np.flatnonzero(codes(text)), side="right")
+        every = np.bincount(own, minlength=len(spans))[: len(spans)]
+        for i in np.flatnonzero(letters < np.maximum(6, every / 5)):
+            b, e = spans[i]
+            if every[i] > letters[i]:
+                one = _shares(text[b:e], np.array([e - b]), filters)
+                share[i], n[i], letters[i] = one[0][0], one[1][0], one[2][0]
     out = []
     for i, (b, e) in enumerate(spans):
         order = np.argsort(-share[i], kind="stable")
