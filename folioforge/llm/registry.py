@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with ``QUERIES`` (name -> callable) and, where SQL can state the result, ``SQL`` (name -> text).
-MODULES = ("p1_scan_noise", "p2_split", "p3_pairs", "p5_language", "p6_truncation", "p7_encode", "p8_mix", "p9_quality")
+MODULES = ("p1_scan_noise", "p2_split", "p3_pairs", "p4_names", "p5_language", "p6_truncation", "p7_encode", "p8_mix", "p9_quality")
 
 
 def _modules():
