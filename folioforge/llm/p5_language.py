@@ -187,7 +187,7 @@ def classify(text: str, filters: LanguageFilters) -> list[tuple[int, int, str |
     if bare != text:
         own = np.searchsorted(ends, np.flatnonzero(codes(text)), side="right")
         every = np.bincount(own, minlength=len(spans))[: len(spans)]
-        for i in np.flatnonzero(letters < np.maximum(6, every / 5)):
+        for i in np.flatnonzero(letters < np.maximum(6, every / 10)):
             b, e = spans[i]
             if every[i] > letters[i]:
                 one = _shares(text[b:e], np.array([e - b]), filters)
