@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioforge.plans import join_queries, notes_queries, segment_queries, text_queries
+
+_MODULES = (text_queries, segment_queries, join_queries, notes_queries)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["token_health"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.SQL.items()}
