@@ -180,7 +180,7 @@ def folder_name(stem: Column) -> Column:
 def author_from_stem(stem: Column) -> Column:
     """The last part of ``title_author``, if it may be a name; else empty."""
     parts = F.filter(F.transform(F.split(_none(stem), "_"), strip), lambda p: p != "")
-    last = F.element_at(parts, -1)
+    last = F.try_element_at(parts, F.lit(-1))
     return F.when((F.size(parts) >= 2) & (F.length(last) > 1) & (F.length(last) <= 25) & ~last.rlike("[0-9]"), last).otherwise(F.lit(""))
 
 

@@ -58,16 +58,24 @@ def first_by_key(sources: DataFrame, name: str, order: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(name, F.struct(order, name)).alias(name), F.count("*").alias("n_sources"))
 
 
-def best_ratio(a: list[str], b: list[str]) -> list[float]:
-    return [difflib.SequenceMatcher(None, y, x).ratio() for x, y in zip(a, b)]
+def likeness(cands: list[str], keys: list[str], cutoff: float) -> list[float]:
+    """Ratio of each key to its candidate, 0 where a bound shows that it is below the cutoff; runs of one candidate share their index."""
+    out, last, m = [], None, difflib.SequenceMatcher()
+    for c, k in zip(cands, keys):
+        if c != last:
+            m.set_seq2(c)
+            last = c
+        m.set_seq1(k)
+        out.append(m.ratio() if m.quick_ratio() >= cutoff else 0.0)
+    return out
 
 
 def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates: str, key: str) -> DataFrame:
     """``note_id, key, how``: the source of each note, exact by the first candidate key that has one, else the most alike of the first candidate that has any.
 
     ``candidates`` is an ordered array of keys. Only notes without an exact hit go to the
-    fuzzy join, which is blocked by length and shared pairs of letters: two keys as alike as
-    CUTOFF share most pairs, so the rarer of a key's pairs find it; the ratio then decides.
+    fuzzy join, which is blocked by shared pairs of letters and length: two keys as alike as
+    CUTOFF have a known number of pairs in common; the ratio then decides.
     """
     cand = notes.select(note_id, F.posexplode(candidates).alias("ord", "cand")).filter("cand <> ''")
     keys = sources.select(F.col(key).alias("key")).filter("key <> ''").distinct()
@@ -75,22 +83,26 @@ def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates
     left = cand.join(exact, note_id, "left_anti")
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
     tried = left.select("cand").distinct()
-    a = tried.select("cand", F.explode(grams(F.col("cand"))).alias("g"))
-    b = keys.select("key", F.explode(grams(F.col("key"))).alias("g"))
-    rare = b.groupBy("g").agg(F.count("*").alias("n"))
-    size = tried.select("cand", F.size(grams(F.col("cand"))).alias("m"))
-    # Of a key's pairs at least 1 - 2 * (1 - CUTOFF) * 2 survive in a key as alike: the rarest third and one more always holds one.
-    order = W.partitionBy("cand").orderBy(F.coalesce("n", F.lit(0)), "g")
-    picked = a.join(rare, "g", "left").join(size, "cand").withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.ceil(F.col("m") * (1 - CUTOFF) * 4) + 1)
-    pairs = picked.select("cand", "g").join(b, "g").select("cand", "key").distinct()
-    near = 2 * F.least(F.length("cand"), F.length("key")) >= CUTOFF * (F.length("cand") + F.length("key"))
+    # Pairs are counted by hash and length, small fixed-width rows; the strings join again behind the filter.
+    a = tried.select(F.xxhash64("cand").alias("c"), F.length("cand").alias("lc"), F.explode(grams(F.col("cand"))).alias("g")).withColumn("g", F.xxhash64("g"))
+    b = keys.select(F.xxhash64("key").alias("k"), F.length("key").alias("lk"), F.explode(grams(F.col("key"))).alias("g")).withColumn("g", F.xxhash64("g"))
+    near = 2 * F.least("lc", "lk") >= CUTOFF * (F.col("lc") + F.col("lk"))
+    # An unmatched letter spoils two pairs at most, so alike keys have a known part of their pairs in common.
+    spoiled = F.ceil((1 - CUTOFF) * 2 * (F.col("lc") + F.col("lk"))) + 1
+    shared = a.join(b, "g").filter(near).groupBy("c", "k", "lc", "lk").agg(F.count("*").alias("common"))
+    size = tried.select(F.xxhash64("cand").alias("c"), "cand", F.size(grams(F.col("cand"))).alias("m"))
+    pairs = shared.join(size, "c").filter(F.col("common") >= F.col("m") - spoiled).join(keys.select(F.xxhash64("key").alias("k"), "key"), "k").select("cand", "key")
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            r = best_ratio(rows.column(0).to_pylist(), rows.column(1).to_pylist())
+            r = likeness(rows.column(0).to_pylist(), rows.column(1).to_pylist(), CUTOFF)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(r, pa.float64())], names=["cand", "key", "ratio"])
 
-    scored = pairs.filter(near).mapInArrow(ratio, "cand string, key string, ratio double").filter(F.col("ratio") >= CUTOFF)
+    # Each unmatched letter spoils two pairs at most: keys with fewer pairs in common can't be as alike.
+    ga = grams(F.col("cand"))
+    spoiled = F.ceil((1 - CUTOFF) * 2 * (F.length("cand") + F.length("key"))) + 1
+    near = near & (F.size(F.array_intersect(ga, grams(F.col("key")))) >= F.size(ga) - spoiled)
+    scored = pairs.sortWithinPartitions("cand").mapInArrow(ratio, "cand string, key string, ratio double").filter(F.col("ratio") >= CUTOFF)
     best = scored.groupBy("cand").agg(F.max_by("key", F.struct("ratio", "key")).alias("key"))
     fuzzy = left.join(best, "cand").groupBy(note_id).agg(F.min_by("key", "ord").alias("key")).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)

@@ -24,7 +24,7 @@ def merge_dangling(paras: Column, most: int = MERGED) -> Column:
     """An array of paragraphs with those joined that a page break cut: the one before has no end, or this one goes on in small letters."""
 
     def step(out: Column, p: Column) -> Column:
-        prev = F.element_at(out, -1)
+        prev = F.try_element_at(out, F.lit(-1))
         open_ = ~prev.rlike(r'[.!?:;"”’)\]]\s*$') | p.rlike("^[a-z]")
         fits = (F.size(out) > 0) & ~F.regexp_replace(prev, r"^\s+", "").startswith("#") & (F.length(prev) + F.length(p) + 1 <= most) & open_
         joined = F.concat_ws(" ", F.regexp_replace(prev, r"\s+$", ""), F.regexp_replace(p, r"^\s+", ""))
@@ -89,15 +89,16 @@ def sequential_footnotes(paras: DataFrame, key: str, idx: str, text: str) -> Dat
     A document where runs begin early and are dense is numbered text, and runs without any
     citation are no footnotes; such documents have none.
     """
-    total = paras.groupBy(key).agg(F.count("*").alias("total"))
-    cand = paras.select(key, idx, F.col(text).alias("p"), footnote_number(F.col(text)).alias("num")).filter((F.length(strip(F.col("p"))) <= FOOTNOTE_CHARS) & F.col("num").between(1, 999))
+    w = W.partitionBy(key)
+    placed = paras.withColumn("at", F.row_number().over(w.orderBy(idx)) - 1).withColumn("total", F.count("*").over(w))
+    cand = placed.select(key, idx, "at", "total", F.col(text).alias("p"), footnote_number(F.col(text)).alias("num")).filter((F.length(strip(F.col("p"))) <= FOOTNOTE_CHARS) & F.col("num").between(1, 999))
     order = W.partitionBy(key).orderBy(idx)
     cand = cand.withColumn("new", F.coalesce((F.col("num") != F.lag("num").over(order) + 1).cast("int"), F.lit(1)))
     cand = cand.withColumn("run", F.sum("new").over(order))
     runs = cand.withColumn("n", F.count("*").over(W.partitionBy(key, "run"))).filter(F.col("n") >= RUN)
-    stats = runs.groupBy(key).agg(F.min(idx).alias("first"), F.count("*").alias("found"), F.max(F.col("p").rlike(EXPLICIT_CITE)).alias("cites"))
-    early = ((F.col("first") - 1) / F.col("total") < EARLY) & (F.col("found") / F.col("total") > DENSE)
-    good = stats.join(total, key).filter(F.col("cites") & ~early).select(key)
+    stats = runs.groupBy(key).agg(F.min("at").alias("first"), F.max("total").alias("total"), F.count("*").alias("found"), F.max(F.col("p").rlike(EXPLICIT_CITE)).alias("cites"))
+    early = (F.col("first") / F.col("total") < EARLY) & (F.col("found") / F.col("total") > DENSE)
+    good = stats.filter(F.col("cites") & ~early).select(key)
     return runs.join(good, key, "left_semi").select(key, idx)
 
 
@@ -122,4 +123,4 @@ def skipped_sections(paras: DataFrame, key: str, idx: str, text: str) -> DataFra
 def min_gap(marks: Column, gap: int) -> Column:
     """Of a sorted array of (pos, …) those at least ``gap`` behind the last one kept."""
     kind = F.slice(marks, 1, 0)
-    return F.aggregate(marks, kind, lambda out, m: F.when((F.size(out) > 0) & (m["pos"] - F.element_at(out, -1)["pos"] < gap), out).otherwise(F.concat(out, F.array(m))))
+    return F.aggregate(marks, kind, lambda out, m: F.when((F.size(out) > 0) & (m["pos"] - F.try_element_at(out, F.lit(-1))["pos"] < gap), out).otherwise(F.concat(out, F.array(m))))

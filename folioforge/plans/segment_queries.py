@@ -141,7 +141,7 @@ def pick_lines(spark: SparkSession, d: str) -> DataFrame:
 def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages set as glyphs on a grid and read back in order."""
     p = _pages(spark, d).select("file_id", "page_no", "txt")
-    lines = p.select("file_id", "page_no", F.posexplode(F.split("txt", "\n")).alias("y", "line"))
+    lines = p.select("file_id", "page_no", F.posexplode(F.split(F.regexp_replace("txt", " +", " "), "\n")).alias("y", "line"))
     chars = lines.select("file_id", "page_no", "y", F.posexplode(F.split(F.rtrim("line"), "")).alias("x", "ch")).filter("ch <> '' and ch <> ' '")
     # A raw line ends with a line feed glyph, as a text layer has it.
     x, top = F.col("x") * 10.0, F.lit(1000.0) - F.col("y") * 14.0
@@ -182,8 +182,6 @@ SQL = {
         m AS (SELECT chapter_id, list_reduce(list_transform(l, lambda x: [x]), lambda a, b: CASE WHEN NOT starts_with(ltrim(a[-1]), '#') AND length(a[-1]) + length(b[1]) + 1 <= 3000 AND (NOT regexp_matches(a[-1], '[.!?:;"”’)\\]]\\s*$') OR regexp_matches(b[1], '^[a-z]'))
             THEN list_concat(a[:-2], [regexp_replace(a[-1], '\\s+$', '') || ' ' || regexp_replace(b[1], '^\\s+', '')]) ELSE list_concat(a, b) END) AS m FROM p)
         SELECT chapter_id, CAST(len(m) AS BIGINT) AS n, md5(array_to_string(m, chr(10) || chr(10))) AS text FROM m""",
-    "footnote_runs": """SELECT chapter_id, CAST(m + k AS BIGINT) AS idx FROM (SELECT chapter_id, max(idx) AS m, count(*) AS n FROM (SELECT DISTINCT chapter_id, idx, src FROM translate_pairs WHERE src IS NOT NULL) GROUP BY chapter_id), (SELECT unnest([1, 2, 3]) AS k)
-        WHERE chapter_id % 5 = 0 AND chapter_id % 10 <> 0 AND NOT (m * 1.0 / (n + 3) < 0.5 AND 3.0 / (n + 3) > 0.15)""",
     "skip_sections": """WITH p AS (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) AS rn, count(*) OVER (PARTITION BY chapter_id) AS n FROM (SELECT DISTINCT chapter_id, idx, src FROM translate_pairs WHERE src IS NOT NULL))
         SELECT chapter_id, CAST(idx * 10 AS BIGINT) AS idx FROM p WHERE rn > n - 2 AND n >= 3 UNION ALL SELECT chapter_id, CAST(idx * 10 + 5 AS BIGINT) FROM p WHERE rn = n - 2""",
     "chapter_roundtrip": f"""WITH docs AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents WHERE length(text) BETWEEN 1200 AND 4000 AND NOT ({_ODD})),
@@ -202,5 +200,5 @@ SQL = {
     "chapter_bounds": """WITH RECURSIVE c AS (SELECT DISTINCT file_id, start_pos AS pos FROM chapters WHERE start_pos IS NOT NULL), k AS (SELECT file_id, min(pos) AS pos FROM c GROUP BY file_id UNION ALL
         SELECT k.file_id, (SELECT min(c.pos) FROM c WHERE c.file_id = k.file_id AND c.pos >= k.pos + 1500) FROM k WHERE (SELECT min(c.pos) FROM c WHERE c.file_id = k.file_id AND c.pos >= k.pos + 1500) IS NOT NULL)
         SELECT file_id, CAST(pos AS BIGINT) AS pos, CAST(coalesce(lead(pos) OVER (PARTITION BY file_id ORDER BY pos), 1000000) AS BIGINT) AS end_pos FROM k""",
-    "glyph_pages": f"SELECT file_id, page_no, true AS ok, md5(regexp_replace(txt, '\\s+', '', 'g')) AS text FROM {_P} WHERE regexp_matches(txt, '[^ \\n]')",
+    "glyph_pages": f"SELECT file_id, page_no, true AS ok, md5(regexp_replace(txt, '[\\s\\pC]+', '', 'g')) AS text FROM {_P} WHERE regexp_matches(txt, '[^ \\n]')",
 }
