@@ -219,11 +219,10 @@ def corrections(vocab: DataFrame) -> DataFrame:
     Anagram hashes join the two; the confusion must then turn the one word into the other in
     one place. Ranked by the variant's frequency, then by the word.
     """
-    spark = vocab.sparkSession
     mask = (1 << 63) - 1
-    rules = spark.createDataFrame([(r, w, (anagram(w) - anagram(r)) & mask) for r, w in CONFUSIONS], "fix_part string, wrong string, delta long")
+    rules = F.array(*[F.struct(F.lit(r).alias("fix_part"), F.lit(w).alias("wrong"), F.lit((anagram(w) - anagram(r)) & mask).alias("delta")) for r, w in CONFUSIONS])
     rare = vocab.filter((F.length("word") >= 2) & (F.col("n") > 0)).select("word", "hash", F.col("n").alias("n_word"))
-    tries = rare.join(F.broadcast(rules), F.col("word").contains(F.col("wrong")))  # a fixed table of confusions
+    tries = rare.select("word", "hash", "n_word", F.explode(F.filter(rules, lambda r: F.col("word").contains(r["wrong"]))).alias("r")).select("word", "hash", "n_word", "r.*")
     tries = tries.withColumn("hash", (F.col("hash") - F.col("delta")).bitwiseAND(F.lit(mask)))
     often = vocab.filter(F.col("n") >= FREQUENT).select(F.col("word").alias("fix"), "hash", F.col("n").alias("n_fix"))
     pairs = tries.join(often, "hash").filter((F.col("n_fix") >= RATIO * F.col("n_word")) & (F.col("word") != F.col("fix")))
