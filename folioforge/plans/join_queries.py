@@ -117,7 +117,9 @@ def stage_counters(spark: SparkSession, d: str) -> DataFrame:
     f = _files(spark, d).agg(F.count("*").alias("n_files"), F.count_if(F.col("ext") == "pdf").alias("n_pdf"))
     t = table(spark, d, "translate_pairs").filter("status = 'translated'").agg(F.count_distinct("stem").alias("n_translated"))
     s = table(spark, d, "wiki_notes").filter("summary is not null").agg(F.count_distinct("stem").alias("n_summarised"))
-    return f.join(t, F.lit(1) == F.lit(1)).join(s, F.lit(1) == F.lit(1))
+    names = ("n_files", "n_pdf", "n_translated", "n_summarised")
+    every = f.unionByName(t, allowMissingColumns=True).unionByName(s, allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in names])
 
 
 def medians(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +137,14 @@ def chapter_nav(spark: SparkSession, d: str) -> DataFrame:
 
 
 def work_order(spark: SparkSession, d: str) -> DataFrame:
-    """The ten newest files of each kind, and the place each takes smallest first."""
-    f = _files(spark, d)
-    newest = F.row_number().over(W.partitionBy("ext").orderBy(F.desc("mtime"), "file_id"))
-    small = F.row_number().over(W.partitionBy("ext").orderBy("size_bytes", "file_id"))
-    return f.select("file_id", "ext", newest.cast("long").alias("newest"), small.cast("long").alias("smallest")).filter("newest <= 10")
+    """The ten newest and the ten smallest files of each kind: two top-k reports."""
+    f = _files(spark, d).select("file_id", "ext", "mtime", "size_bytes")
+
+    def top(name: str, *order) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("ext").orderBy(*order, "file_id"))
+        return f.withColumn("place", rank).filter("place <= 10").select(F.lit(name).alias("list"), "ext", F.col("place").cast("long").alias("place"), "file_id")
+
+    return top("newest", F.desc("mtime")).unionByName(top("smallest", F.col("size_bytes")))
 
 
 def name_search(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +239,8 @@ SQL = {
     "stage_counters": f"""SELECT (SELECT count(*) FROM {_F}) AS n_files, (SELECT count(*) FROM {_F} WHERE ext = 'pdf') AS n_pdf, (SELECT count(DISTINCT stem) FROM translate_pairs WHERE status = 'translated') AS n_translated, (SELECT count(DISTINCT stem) FROM wiki_notes WHERE summary IS NOT NULL) AS n_summarised""",
     "medians": f"SELECT mode, quantile_cont(n_chars, 0.5)::DOUBLE AS middle, CAST((list_sort(list(n_chars)))[count(*) // 2 + 1] AS BIGINT) AS upper, round(avg(n_chars), 6) AS mean FROM {_C} GROUP BY mode",
     "chapter_nav": f"SELECT chapter_id, lag(t) OVER w AS prev_title, lead(t) OVER w AS next_title FROM (SELECT *, coalesce(title, '') AS t FROM {_C}) WINDOW w AS (PARTITION BY stem ORDER BY chapter_no)",
-    "work_order": f"SELECT * FROM (SELECT file_id, ext, row_number() OVER (PARTITION BY ext ORDER BY mtime DESC, file_id) AS newest, row_number() OVER (PARTITION BY ext ORDER BY size_bytes, file_id) AS smallest FROM {_F}) WHERE newest <= 10",
+    "work_order": f"""SELECT 'newest' AS list, ext, place, file_id FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY mtime DESC, file_id) AS place FROM {_F}) WHERE place <= 10
+        UNION ALL SELECT 'smallest', ext, place, file_id FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY size_bytes, file_id) AS place FROM {_F}) WHERE place <= 10""",
     "name_search": f"SELECT file_id, stem FROM {_F} WHERE contains(lower(stem), 'of the')",
     "queue_ops": f"""WITH c AS (SELECT {_ROUTE} AS stage, stem AS item, min(chapter_id) AS seq FROM chapters WHERE stem IS NOT NULL GROUP BY ALL),
         q AS (SELECT * FROM c WHERE NOT (stage = 'tab3_ready' AND item IN (SELECT stem FROM translate_pairs WHERE status = 'failed' AND engine IS NULL AND stem IS NOT NULL)) AND item IN (SELECT stem FROM txt_files))
