@@ -39,9 +39,11 @@ BLOOM_BITS = 1 << 24
 
 HYPHENS = "-‐­¬"
 _HYPHEN_END = re.compile(r"([^\W\d_]+)[-‐­¬]$")
+_HYPHENED = re.compile(r"[^\W\d_]+-[^\W\d_]+")
 _WORD = re.compile(r"[@!]?[^\W_](?:[^\W_]|[@!|](?=[^\W_]))*@?")
 _FIRST = re.compile(r"^[^\w]*([^\W\d_](?:[^\W_]|[@!|](?=[^\W_]))*)")
 _MARKS = re.compile(r"^[\s#>*_|]+|[\s*_|]+$")
+_BLANK = " \t\r\f\v\u00a0\u3000"
 _ROMAN = re.compile(r"^(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _PAGE = re.compile(r"^(?:[-–—·•~(\[<]\s*)?(?:(?:p|pp|page|s|seite|pág|pag|página|쪽|페이지)\.?\s*)?([0-9lIOoSB]{1,4}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*(?:/|of|von|sur|de)\s*[0-9lIOoSB]{1,4})?(?:\s*(?:쪽|페이지|頁|ページ))?(?:\s*[-–—·•~)\]>])?\.?$", re.I)
 _NUMBER_TOKEN = re.compile(r"^\s*(?:[-–—|·\[(]?\s*[0-9lIO]{1,4}\s*[-–—|·\])]?\s+)|(?:\s+[-–—|·\[(]?\s*[0-9lIO]{1,4}\s*[-–—|·\])]?)\s*$")
@@ -149,6 +151,11 @@ def body_of(pages: DataFrame, found: DataFrame) -> DataFrame:
     return pages.join(skip, ["page_id", "field"], "left")
 
 
+def _bare(line: str) -> str:
+    """A line without blanks and Markdown marks at its ends."""
+    return line.lstrip(_BLANK + "#>*_|").rstrip(_BLANK + "*_|")
+
+
 def page_words(text: str, skip: list[int] | None) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, str, str]], tuple[int, str] | None, tuple[int, str, str] | None]:
     """Of a page's body: words with line numbers, cut words (line, next line, head, tail, sign), the first word, and a cut word at the end."""
     gone = set(skip or ())
@@ -158,31 +165,30 @@ def page_words(text: str, skip: list[int] | None) -> tuple[list[tuple[int, str]]
     first, last = None, None
     eaten = False  # this line's first word belongs to the line before
     for k, (no, line) in enumerate(lines):
-        s = _MARKS.sub("", line)
+        s = _bare(line).lower()
         if not s:
             eaten = False
             continue
         if k == 0 and (m := _FIRST.match(s)):
-            first = (no, m.group(1).lower())
-        found = [w.lower() for w in _WORD.findall(s)]
+            first = (no, m.group(1))
+        found = _WORD.findall(s)
         if eaten and found:
             found = found[1:]
         eaten = False
-        m = _HYPHEN_END.search(s)
-        if m:
-            head, sign = m.group(1).lower(), s[-1]
-            whole = (_WORD.findall(s[:-1]) or [head])[-1].lower()
+        if s[-1] in HYPHENS and (m := _HYPHEN_END.search(s)):
+            head, sign = m.group(1), s[-1]
+            whole = (_WORD.findall(s[:-1]) or [head])[-1]
             if k + 1 < len(lines):
-                nxt = _MARKS.sub("", lines[k + 1][1])
+                nxt = _bare(lines[k + 1][1]).lower()
                 t = _FIRST.match(nxt)
                 if t and not nxt[:1].isdigit():
-                    cuts.append((no, lines[k + 1][0], whole, t.group(1).lower(), sign))
+                    cuts.append((no, lines[k + 1][0], whole, t.group(1), sign))
                     eaten = True
             else:
                 last = (no, whole, sign)
             if found and found[-1] == whole:
-                found = found[:-1]
-        words += [(no, w) for w in found]
+                found.pop()
+        words.extend((no, w) for w in found)
     return words, cuts, first, last
 
 
@@ -202,7 +208,7 @@ def word_counts(body: DataFrame) -> DataFrame:
                 words, cuts, _, _ = page_words(text, skip)
                 n.update(w for _, w in words)
                 n.update(h + t for _, _, h, t, _ in cuts)
-                pair.update(x.lower() for x in re.findall(r"[^\W\d_]+-[^\W\d_]+", text))
+                pair.update(x.lower() for w in text.split() if "-" in w[1:-1] for x in _HYPHENED.findall(w))
             rows = list(n.items()) + [(k, 0) for k in pair if k not in n]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in rows], pa.string()), pa.array([anagram(w) for w, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64()), pa.array([pair.get(w, 0) for w, _ in rows], pa.int64())],
