@@ -30,6 +30,6 @@ QUERIES = {"p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip}
 
 SQL = {
     "p7_roundtrip": """
-        SELECT source, count(*) AS n_docs, sum(length(coalesce(text, ''))) AS n_chars, CAST(0 AS BIGINT) AS changed
+        SELECT source, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS changed
         FROM documents GROUP BY source""",
 }

@@ -56,3 +56,20 @@ def test_empty_corpus(spark):
     texts = p8.distinct_texts(_docs(spark, []))
     assert p8.mix(texts, [("a", 1.0, 1)]).count() == 0
     assert p8.mix(texts, []).count() == 0
+
+
+def test_queries_with_sql_agree(spark, sf):
+    import duckdb
+
+    from folioforge.llm import registry
+
+    c = duckdb.connect()
+    for t in ("documents", "txt_files", "chapters", "split_limits"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        got = registry.queries()[name](spark, sf).toPandas()
+        want = c.execute(sql).df()
+        cols = sorted(got.columns)
+        assert cols == sorted(want.columns)
+        key = lambda df: sorted(map(tuple, df[cols].astype(str).to_numpy().tolist()))  # noqa: B023, E731
+        assert key(got) == key(want), name
