@@ -132,9 +132,9 @@ def chapter_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pick_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of each file's pages among which a model may choose chapter starts, forty a file."""
+    """Lines of each file's pages among which a model may choose chapter starts, at most PICK_MOST a file."""
     lines = K.page_lines(_pages(spark, d), "file_id", "page_no", "txt").select("book", (F.col("page") * 1000 + F.col("line_no")).alias("pos"), "line")
-    got = C.pick_candidates(lines, "book", "pos", "line", 40)
+    got = C.pick_candidates(lines, "book", "pos", "line")
     return got.select(F.col("book").alias("file_id"), F.col("pos").cast("long").alias("pos"), "strong")
 
 

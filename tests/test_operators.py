@@ -319,3 +319,33 @@ def test_links_are_appended_then_replaced(spark):
     once = df.select(N.put_links(F.col("n"), block).alias("n"))
     twice = once.select(N.put_links(F.concat("n", F.lit("\n## Next\nz")), F.lit(N.LINKS_HEADER + "\n\n→ y\n")).alias("n")).collect()[0].n
     assert "→ y" in twice and "→ x" not in twice and twice.endswith("## Next\nz")
+
+
+def _picked(lines, most):
+    """The down-sampling in plain Python: strong lines first, evenly if too many, then every step-th of the others."""
+    strong, weak = ([p for p, s in lines if ("Chapter" in s) is want] for want in (True, False))
+    if len(lines) <= most:
+        return sorted(strong + weak)
+    if len(strong) > most:
+        strong = [strong[i * len(strong) // most] for i in range(most)]
+    room = most - len(strong)
+    return sorted(strong + (weak[:: max(1, len(weak) // room)][:room] if room else []))
+
+
+@pytest.mark.parametrize("n_strong, n_weak", [(2, 3), (2, 40), (7, 0), (10, 30), (17, 5), (0, 23)])
+def test_pick_candidates_are_spread(spark, n_strong, n_weak):
+    kinds = [True] * n_strong + [False] * n_weak
+    random.Random(7).shuffle(kinds)
+    lines = [(i, f"Chapter of mill {i}" if k else f"quiet mill {i}") for i, k in enumerate(kinds)]
+    df = spark.createDataFrame([(1, p, s) for p, s in lines] + [(1, 900, "It ends."), (1, 901, "x"), (2, 0, "alone")], "doc long, pos long, line string")
+    got = C.pick_candidates(df, "doc", "pos", "line", 7).collect()
+    assert sorted(r.pos for r in got if r.doc == 1) == _picked(lines, 7) and sum(r.doc == 2 for r in got) == 1
+
+
+def test_pick_lines_keeps_what_the_bound_allows(spark, tmp_path):
+    from folioforge.plans.segment_queries import pick_lines
+
+    text = "\n".join(f"a quiet mill {i}" for i in range(300))
+    spark.createDataFrame([(1, k, text) for k in (1, 2)] + [(2, k, text) for k in (1, 2, 3)], "file_id long, page_no int, txt string").write.parquet(f"{tmp_path}/txt_pages.parquet")
+    got = {r.file_id: r["count"] for r in pick_lines(spark, str(tmp_path)).groupBy("file_id").count().collect()}
+    assert got == {1: 600, 2: 600}
