@@ -99,6 +99,25 @@ def chapter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return got.select("book", "mode", "chapter_no", F.md5(T.strip(F.regexp_replace("body", r"^[^\n]*\n", ""))).alias("body"))
 
 
+def file_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters of every converted file, by whichever tier finds them."""
+    files = table(spark, d, "txt_files").select("file_id", "txt").distinct()
+    return _chapters(C.split_books(files, "file_id", "txt"))
+
+
+def page_chapters(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters of every file's joined pages, with their Markdown; a page that lacks one form gives the other."""
+    p = table(spark, d, "txt_pages").select("file_id", "page_no", "txt", "md").distinct()
+    page = F.struct("page_no", F.coalesce("txt", "md", F.lit("")).alias("txt"), F.coalesce("md", "txt", F.lit("")).alias("md"))
+    books = p.groupBy("file_id").agg(F.array_sort(F.collect_list(page)).alias("p"), F.count("md").alias("n_md"))
+    books = books.select("file_id", F.array_join("p.txt", "\f").alias("txt"), F.when(F.col("n_md") > 0, F.array_join("p.md", "\n\n")).alias("md"))
+    return _chapters(C.split_books(books, "file_id", "txt", "md"))
+
+
+def _chapters(got: DataFrame) -> DataFrame:
+    return got.select("file_id", "mode", "chapter_no", "title", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body"))
+
+
 def _books(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text").filter("length(text) between 1200 and 4000 and text not like '%Chapter%' and not regexp_like(text, '(?m)^ *[0-9]')")
     docs = docs.filter(~F.col("text").rlike(r"(?mi)^\s*(references|bibliography|참고문헌|미주|주석)\s*$") & ~F.col("text").rlike(r"\s{3,}|[^\n]{0}\t"))
@@ -153,7 +172,7 @@ def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, chapter_roundtrip, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages)
+    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, chapter_roundtrip, file_chapters, page_chapters, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages)
 }
 
 _P = "(SELECT DISTINCT file_id, page_no, txt FROM txt_pages WHERE txt IS NOT NULL)"

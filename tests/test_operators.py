@@ -349,3 +349,39 @@ def test_pick_lines_keeps_what_the_bound_allows(spark, tmp_path):
     spark.createDataFrame([(1, k, text) for k in (1, 2)] + [(2, k, text) for k in (1, 2, 3)], "file_id long, page_no int, txt string").write.parquet(f"{tmp_path}/txt_pages.parquet")
     got = {r.file_id: r["count"] for r in pick_lines(spark, str(tmp_path)).groupBy("file_id").count().collect()}
     assert got == {1: 600, 2: 600}
+
+
+def _hard(rng, n):
+    """A body with what the round trip leaves out: digits at a line's head, tabs, runs of spaces, the word Chapter."""
+    return _body(rng, n) + "\n12 mills stood there.\n\tand   more, as Chapter 3 says.\n" + _body(rng, n)
+
+
+def test_chapters_of_files_and_pages(spark, tmp_path):
+    from folioforge.plans import catalog
+
+    rng = random.Random(11)
+    names = ["Early Cathedrals", "Quiet Lanterns", "Northern Bridges"]
+    numbered, listed, headed = ([_hard(rng, 500) for _ in range(k)] for k in (5, 3, 4))
+    toc = "".join(f"{i}. {t} {i * 9}\n" for i, t in enumerate(names, 1)) + "\n" + _body(rng, 100) + "\n"
+    files = [
+        (1, "".join(f"Chapter {i}: Of Mills\n{b}\n" for i, b in enumerate(numbered, 1))), (2, toc + "".join(f"{t.upper()}\n{b}\n" for t, b in zip(names, listed))), (3, "no\theads   at all\n1 mill"), (4, None), (5, ""),
+    ]
+    spark.createDataFrame(files + files[:1], "file_id long, txt string").write.parquet(f"{tmp_path}/txt_files.parquet")
+    md = [f"## Part {c}\n\n{b}" for c, b in zip("ABCD", headed)]
+    pages = [(6, i, None if i == 2 else "some text", m) for i, m in enumerate(md, 1)] + [(7, 2, "second", None), (7, 1, "first", None), (8, 1, None, None)]
+    spark.createDataFrame(pages + pages[:2], "file_id long, page_no int, txt string, md string").write.parquet(f"{tmp_path}/txt_pages.parquet")
+    md5 = lambda s: __import__("hashlib").md5(s.strip().encode()).hexdigest()
+    rows = lambda q: sorted((r.file_id, r["mode"], r.chapter_no, r.body) for r in catalog.queries()[q](spark, str(tmp_path)).collect())
+    want = [(1, "numbered", i, md5(f"Chapter {i}: Of Mills\n{b}")) for i, b in enumerate(numbered, 1)] + [(2, "toc", i, md5(f"{t.upper()}\n{b}")) for i, (t, b) in enumerate(zip(names, listed), 1)]
+    assert rows("file_chapters") == want + [(3, "single", 1, md5(files[2][1]))]
+    assert rows("page_chapters") == [(6, "heading", i, md5(m)) for i, m in enumerate(md, 1)] + [(7, "single", 1, md5("first\fsecond"))]
+
+
+def test_split_books_takes_bookmarks(spark):
+    rng = random.Random(12)
+    pages = [_body(rng, 400) for _ in range(4)]
+    marks = [("A", 0, 0), ("sub", 1, 1), ("B", 1, 0), ("C", 3, 0)]
+    df = spark.createDataFrame([(1, "\f".join(pages), marks), (2, "\f".join(pages), None)], "book long, text string, marks array<struct<title:string,page:int,level:int>>")
+    got = C.split_books(df, "book", "text", bookmarks="marks").orderBy("book", "chapter_no").collect()
+    assert [(r.book, r["mode"], r.title) for r in got] == [(1, "bookmark", "1. A"), (1, "bookmark", "2. B"), (1, "bookmark", "3. C"), (2, "single", "")]
+    assert [r.body for r in got[:3]] == [pages[0].strip(), "\f".join(pages[1:3]).strip(), pages[3].strip()]
