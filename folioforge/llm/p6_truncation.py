@@ -229,30 +229,34 @@ _WORDS: dict[str, int] = {}
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """Hashes of the different five-word shingles; fewer words give one shingle."""
+def _runs(words: list[str], size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words; fewer words give one run."""
     import xxhash
 
-    words = text.split()
     if len(_WORDS) > 500_000:
         _WORDS.clear()
     for w in words:
         if w not in _WORDS:
             _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
     h = np.array([_WORDS[w] for w in words], dtype=np.uint64)
-    n = max(1, len(h) - SHINGLE + 1)
+    n = max(1, len(h) - size + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(min(SHINGLE, len(h))):
+        for i in range(min(size, len(h))):
             out += h[i : i + n] * _PLACE[i]
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return np.unique(out ^ (out >> np.uint64(27)))
+    return out ^ (out >> np.uint64(27))
+
+
+def shingle_hashes(text: str) -> np.ndarray:
+    """Hashes of the different five-word shingles; fewer words give one shingle."""
+    return np.unique(_runs(text.split(), SHINGLE))
 
 
-def bands_of(text: str) -> np.ndarray:
+def bands_of(shingles: np.ndarray) -> np.ndarray:
     """A bucket for each band: the mix of its min-hashes and its number."""
     with np.errstate(over="ignore"):
-        mixed = shingle_hashes(text)[None, :] * _MULT
+        mixed = shingles[None, :] * _MULT
         low = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).reshape(BANDS, ROWS)
         mix = (low * np.array([1, 1000003, 998244353, 2147483647], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return (mix * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)).astype(np.int64)
@@ -275,48 +279,89 @@ def ends_early(short: str, long: str) -> bool:
     return False
 
 
-def early_copies(values: DataFrame, rounds: int = 2) -> DataFrame:
+def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``field, fp, size, run, stem, last``: hash of the words before a text's last one, and that word without stops and its length."""
+    for b in batches:
+        every = [t.split() for t in b.column(3).to_pylist()]
+        # A text of fewer words than a shingle has no longer near-copy.
+        at = [i for i, w in enumerate(every) if len(w) >= SHINGLE]
+        runs = pa.array([int(_runs(every[i][-SHINGLE:-1], SHINGLE - 1).astype(np.int64)[0]) for i in at], pa.int64())
+        stems = pa.array([every[i][-1].rstrip(_STOPS + "…") for i in at], pa.string())
+        sizes = pa.array([len(every[i][-1]) for i in at], pa.int32())
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at, pa.int64())) for i in range(3)), runs, stems, sizes], names=["field", "fp", "size", "run", "stem", "last"])
+
+
+def continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``field, fp, size, run, next, more``: each run of words in a text, the word behind it, and whether others follow."""
+    for b in batches:
+        at, runs, words, more = [], [], [], []
+        for i, t in enumerate(b.column(3).to_pylist()):
+            w = t.split()
+            if len(w) >= SHINGLE:
+                n = len(w) - SHINGLE + 1
+                rows = {*zip(_runs(w, SHINGLE - 1)[:n].astype(np.int64).tolist(), w[SHINGLE - 1 :], [True] * (n - 1) + [False])}
+                at += [i] * len(rows)
+                for out, x in zip((runs, words, more), zip(*rows)):
+                    out += x
+        cols = [pa.array(runs, pa.int64()), pa.array(words, pa.string()), pa.array(more, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(at, pa.int64())) for i in range(3)), *cols], names=["field", "fp", "size", "run", "next", "more"])
+
+
+def early_copies(values: DataFrame) -> DataFrame:
     """(note_id, field) of values that are near-copies of a longer one and end early.
 
-    Exact copies are one class (hash and length). In a bucket every text is held against
-    the longest one only, and those that aren't its near-copies against the longest of the
-    rest in the next round, so no bucket is expanded into pairs, however many share it.
-    The bands are needed twice a round and go to the shared checkpoint folder; texts move
-    only for the representatives of candidate pairs.
+    Exact copies are one class (hash and length). In a bucket every text is first held
+    against the longest one, so a bucket that very many copies share isn't expanded into
+    pairs. A text that is left is held against every longer one that shares a bucket with
+    it, has a size at which the two can be near-copies, and goes on behind the words it
+    ends in: all of these must hold of a copy that ends early, so no pair of a bucket stays
+    undecided. The bands go to the shared checkpoint folder; texts move only where a
+    bucket holds several, and for candidate pairs.
     """
     keyed = values.select("note_id", "field", "text", F.xxhash64("text").alias("fp"), F.length("text").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [bands_of(t) for t in b.column(3).to_pylist()]
+            every = [shingle_hashes(t) for t in b.column(3).to_pylist()]
+            rows = [bands_of(x) for x in every]
             at = pa.array(np.repeat(np.arange(len(rows)), BANDS))
             buckets = pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), buckets], names=["field", "fp", "size", "bucket"])
+            n = pa.array([len(x) for x in every], pa.int32()).take(at)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), n, buckets], names=["field", "fp", "size", "shingles", "bucket"])
 
-    text_class = ["field", "fp", "size"]
-    members = cut_lineage(keyed.select(*text_class, "text").mapInArrow(run, "field string, fp long, size int, bucket long").distinct())
+    text_class, head_class = ["field", "fp", "size"], ["field", "head_fp", "head_size"]
+    members = cut_lineage(keyed.select(*text_class, "text").mapInArrow(run, "field string, fp long, size int, shingles int, bucket long").distinct())
     reps = keyed.groupBy(*text_class).agg(F.min("note_id").alias("rep"))
-    body = keyed.select(F.col("note_id").alias("rep"), "field", "text")
-    found = None
+    body = keyed.select(F.col("note_id").alias("rep"), "field", "text").distinct()
+    heads_of = lambda df: df.select(*[F.col(c).alias(h) for c, h in zip(text_class, head_class)], *[c for c in df.columns if c not in text_class])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flags = [ends_early(x, y) for x, y in zip(b.column(5).to_pylist(), b.column(6).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(flags, pa.bool_())], names=["field", "fp", "size", "head_fp", "head_size", "early"])
+            flags = [ends_early(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(flags, pa.bool_())], names=[*text_class, "early"])
 
-    for _ in range(rounds):
-        heads = members.groupBy("field", "bucket").agg(F.count("*").alias("n"), F.max(F.struct("size", "fp")).alias("head")).filter("n > 1")
-        pairs = members.join(heads.select("field", "bucket", F.col("head.fp").alias("head_fp"), F.col("head.size").alias("head_size")), ["field", "bucket"])
-        pairs = pairs.filter("fp <> head_fp or size <> head_size")
+    def early(pairs: DataFrame) -> DataFrame:
         two = pairs.select(*text_class, "head_fp", "head_size").distinct()
         two = two.join(reps, text_class).join(body.withColumnRenamed("text", "a"), ["rep", "field"]).drop("rep")
-        head = reps.select("field", F.col("fp").alias("head_fp"), F.col("size").alias("head_size"), "rep")
-        two = two.join(head, ["field", "head_fp", "head_size"]).join(body.withColumnRenamed("text", "b"), ["rep", "field"]).drop("rep")
-        checked = two.select(*text_class, "head_fp", "head_size", "a", "b").mapInArrow(check, "field string, fp long, size int, head_fp long, head_size int, early boolean")
-        checked = cut_lineage(checked.filter("early").select(*text_class, "head_fp", "head_size").distinct())
-        good = checked.select(*text_class)
-        found = good if found is None else found.unionByName(good)
-        members = pairs.join(checked, [*text_class, "head_fp", "head_size"], "left_anti").select(*text_class, "bucket")
+        two = two.join(heads_of(reps), head_class).join(body.withColumnRenamed("text", "b"), ["rep", "field"]).drop("rep")
+        checked = two.select(*text_class, "a", "b").mapInArrow(check, "field string, fp long, size int, early boolean")
+        return cut_lineage(checked.filter("early").select(*text_class).distinct())
+
+    heads = members.groupBy("field", "bucket").agg(F.count("*").alias("n"), F.max(F.struct("size", "fp")).alias("head")).filter("n > 1")
+    pairs = members.join(heads.select("field", "bucket", F.col("head.fp").alias("head_fp"), F.col("head.size").alias("head_size")), ["field", "bucket"])
+    found = early(pairs.filter("fp <> head_fp or size <> head_size"))
+
+    # Only buckets of three texts or more have pairs without the longest one.
+    full = members.join(heads.filter("n > 2").select("field", "bucket"), ["field", "bucket"], "left_semi")
+    full = cut_lineage(full.groupBy(*text_class, "shingles").agg(F.collect_list("bucket").alias("buckets")))
+    texts = full.select(*text_class).join(reps, text_class).join(body, ["rep", "field"]).select(*text_class, "text")
+    short = texts.join(found, text_class, "left_anti").mapInArrow(tails, "field string, fp long, size int, run long, stem string, last int")
+    long = texts.mapInArrow(continuations, "field string, fp long, size int, run long, next string, more boolean")
+    both = short.join(heads_of(long), ["field", "run"]).filter("(head_size > size or head_size = size and head_fp > fp) and startswith(next, stem) and (more or length(next) > last)")
+    both = both.select(*text_class, "head_fp", "head_size").distinct()
+    both = both.join(full, text_class).join(heads_of(full.withColumnsRenamed({"shingles": "head_shingles", "buckets": "head_buckets"})), head_class)
+    near = F.least("shingles", "head_shingles") >= SIMILAR * F.greatest("shingles", "head_shingles")
+    found = found.unionByName(early(both.filter(near & F.arrays_overlap("buckets", "head_buckets"))))
     return keyed.select("note_id", *text_class).join(found.distinct(), text_class, "left_semi").select("note_id", "field")
 
 

@@ -35,6 +35,21 @@ def test_near_copies_that_end_early(spark):
     assert got == {100 + i for i in range(6)}
 
 
+def test_hot_bucket_of_a_template(spark):
+    """Every copy is aligned with its own full text, though the buckets hold many longer ones."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    template = some(600)
+    full = [f"{template} {some(10 + i % 5)} the end." for i in range(40)]
+    rows = [(i, "m", "body", t) for i, t in enumerate(full)] + [(100 + i, "m", "body", t[:-12]) for i, t in enumerate(full)]
+    values = _corpus(spark, rows)
+    texts = {r[0]: r[3] for r in rows}
+    want = {i for i, x in texts.items() if any(p6.ends_early(x, y) for j, y in texts.items() if (len(y), j) > (len(x), i))}
+    assert {100 + i for i in range(40)} <= want
+    assert {r.note_id for r in p6.early_copies(values).collect()} == want
+
+
 def test_terminality(spark):
     rows = [(i, "m", "body", f"the old mill near the river was closed in {1900 + i}. it was opened by the river again.") for i in range(30)]
     rows += [(100, "m", "body", "the old mill near the river was clo"), (101, "m", "body", "the old mill near the river was"), (102, "m", "body", "it was opened by the river again")]
