@@ -25,7 +25,7 @@ from folioforge.session import cut_lineage, table
 
 #: Words of a shingle, similarity of near-copies, bands and rows of the min-hash.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 4
-#: Longest word prefix that the terminality table tells apart.
+#: Longest word prefix that is counted for every word; longer ones are counted where a value closes with them.
 PREFIX = 12
 #: Open ends of a model at one length, how many times those of the lengths beside it, and the least length, for a field limit.
 LIMIT_COUNT, LIMIT_PEAK, LIMIT_LEAST = 5, 4, 60
@@ -158,8 +158,13 @@ def word_contexts(values: DataFrame) -> DataFrame:
 def terminality(contexts: DataFrame, keys: DataFrame) -> DataFrame:
     """For each (before, word) of ``keys``: counts in its context and of the word anywhere, and of longer words in its place."""
     longer = contexts.select("before", F.col("word").alias("full"), (F.col("inner") + F.col("stop")).alias("n"))
-    longer = longer.filter(F.length("full") > 1).select("before", "n", F.explode(F.sequence(F.lit(1), F.least(F.length("full") - 1, F.lit(PREFIX)))).alias("size"), "full")
-    longer = longer.select("before", F.substring("full", F.lit(1), F.col("size")).alias("word"), "n")
+    short = longer.filter(F.length("full") > 1).select("before", "n", F.explode(F.sequence(F.lit(1), F.least(F.length("full") - 1, F.lit(PREFIX)))).alias("size"), "full")
+    short = short.select("before", F.substring("full", F.lit(1), F.col("size")).alias("word"), "n")
+    # Longer prefixes only where a value closes with one: a word may be as long as a text.
+    head = lambda c: F.substring(c, 1, PREFIX).alias("head")
+    stems = keys.filter(F.length("word") > PREFIX).select("word", head("word")).distinct()
+    long = longer.filter(F.length("full") > PREFIX + 1).select("*", head("full")).join(stems, "head").filter(F.length("full") > F.length("word")).filter(F.col("full").startswith(F.col("word")))
+    longer = short.unionByName(long.select("before", "word", "n"))
     here = longer.groupBy("before", "word").agg(F.sum("n").alias("longer"))
     any_word = contexts.groupBy("word").agg(F.sum("inner").alias("inner_any"), F.sum("stop").alias("stop_any"))
     any_longer = here.groupBy("word").agg(F.sum("longer").alias("longer_any"))
@@ -195,11 +200,13 @@ def _verdict(limited: Column) -> Column:
         )
 
     sentence = F.col("word").rlike("[다까요죠]$")
+    # Values that close alike don't speak for a whole text if their last word is long and only known as the stem of longer ones: the larger the data, the more often a stem is repeated. A short one may be a word (outline, outlined).
+    stem = (F.length("word") > PREFIX) & (F.col("inner_any") + F.col("stop_any") == 0) & (F.col("longer_any") > 0)
     tag = (F.col("inner") + F.col("stop") == 0) & (F.col("longer") > 0)
     return (
         F.when(F.col("before") == "#", tag)
         .when(context >= CONTEXT, judge("inner", "stop", "longer"))
-        .when((context == 0) & (F.col("closing") >= 3) & ~limited, F.lit(False))
+        .when((context == 0) & (F.col("closing") >= 3) & ~limited & ~stem, F.lit(False))
         .when(anywhere > 0, judge("inner_any", "stop_any", "longer_any"))
         .otherwise(~sentence)
     )

@@ -59,5 +59,15 @@ def test_terminality(spark):
     assert got == [100, 101]
 
 
+def test_long_words(spark):
+    """Tags and words that are cut behind their twelfth character, once or many times, and whole ones."""
+    rows = [(i, "m", "body", f"The mill {i} is old.\n\n#neighbourhood #long-term_rent\n\nHere the internationalisation of mills went on.") for i in range(20)]
+    rows += [(50, "m", "body", "The mill is old.\n\n#neighbourhoo"), (51, "m", "body", "The mill is old.\n\n#neighbourhood #long-term_re"), (52, "m", "body", "The mill is old.\n\n#neighbourhood")]
+    rows += [(60 + i, "m", "body", f"The mill {i} saw internationali") for i in range(4)]
+    rows += [(70, "m", "body", "Here the internationalisatio")]
+    got = sorted(r.note_id for r in p6.cut_values(_corpus(spark, rows)).collect())
+    assert got == [50, 51, 60, 61, 62, 63, 70]
+
+
 def test_empty_table(spark):
     assert p6.cut_values(_corpus(spark, [])).count() == 0
