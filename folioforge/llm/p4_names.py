@@ -4,14 +4,16 @@ Different spellings are parsed into nodes (a person's tokens in any order, nickn
 resolved; an institute's place and field), so format variants meet in a node without
 being compared. Nodes are blocked by the phonetic codes of their sorted tokens and, for
 slips that change the code, by a token with one character left out beside the other
-token as it is; Jaro-Winkler and the kind of slip decide. Accepted pairs and nodes are
+tokens as they are; Jaro-Winkler and the kind of slip decide. Accepted pairs and nodes are
 clustered by connected components.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -186,12 +188,22 @@ def block_keys(kind: str, tokens: list[str], first: str) -> list[str]:
         return sorted({f"I{d}|{heads}" for d in dropped(tokens[0])} | {f"IP{phonetic(tokens[0])}|{heads}"})
     if kind == "N":
         return [f"N{tokens[0]}|{first[:1]}"]
-    if kind == "P" and len(tokens) == 2:
-        x, y = tokens
-        keys = {"S" + "|".join(sorted((phonetic(x), phonetic(y)))), f"N{x}|{y[:1]}", f"N{y}|{x[:1]}"}
-        keys |= {f"D{x}|{d}" for d in dropped(y)} | {f"D{y}|{d}" for d in dropped(x)}
-        return sorted(keys)
-    return []
+    keys = set()
+    for form in forms(tokens):
+        keys.add("S" + "|".join(sorted(map(phonetic, form))))
+        for i, w in enumerate(form):
+            rest = "|".join(form[:i] + form[i + 1 :])
+            keys |= {f"D{rest}|{d}" for d in dropped(w)}
+            if len(tokens) == 2:
+                keys.add(f"N{rest}|{w[:1]}")
+    return sorted(keys)
+
+
+def forms(tokens: list[str]) -> list[list[str]]:
+    """The sorted tokens of a person, and where three are syllables but for one (a slip may have made it none), any two of them joined."""
+    if len(tokens) != 3 or sum(w in _SYLLABLES for w in tokens) < 2:
+        return [tokens]
+    return [tokens, *(sorted((s, u + v)) for s, u, v in itertools.permutations(tokens))]
 
 
 def compare(a: dict, b: dict) -> str:
@@ -217,13 +229,11 @@ def compare(a: dict, b: dict) -> str:
             if len(b["tokens"]) == 2 and b["tokens"][i] == a["tokens"][0] and b["tokens"][1 - i][:1] == a["first"][:1]:
                 return "initial"
         return ""
-    x, y = a["tokens"], b["tokens"]
-    if len(x) != 2 or len(y) != 2:
-        return ""
-    for p, q in ((y[0], y[1]), (y[1], y[0])):
-        pairs = ((x[0], p), (x[1], q))
-        odd = [(u, v) for u, v in pairs if u != v]
-        if len(odd) == 1 and jaro_winkler(*odd[0]) >= SIMILAR and one_slip(*odd[0]):
+    for x, y in itertools.product(forms(a["tokens"]), forms(b["tokens"])):
+        if len(x) != len(y):
+            continue
+        u, v = [*(Counter(x) - Counter(y)).elements()], [*(Counter(y) - Counter(x)).elements()]
+        if not u or len(u) == 1 and jaro_winkler(u[0], v[0]) >= SIMILAR and one_slip(u[0], v[0]):
             return "slip"
     return ""
 

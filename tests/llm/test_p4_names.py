@@ -28,6 +28,14 @@ def test_families(spark):
     assert len({entity[f[0]] for f in FAMILIES}) == len(FAMILIES)
 
 
+def test_slips_in_names_of_any_length(spark):
+    families = [["Maria Elena Garcia", "Garcia, Maria Elena", "Maria Elena Gracia", "Maria Elena Garciia"], ["Maria Elene Sandoval"], ["Gil Byeok Chan", "Gil Byeox Chan", "길벽찬"], ["Gil Sun Chan"], ["Voltarine", "Voltarne"], ["Ann Maria Elena Garcia"]]
+    got = {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame([(s,) for f in families for s in f], "spelling string")).collect()}
+    for f in families:
+        assert len({got[s] for s in f}) == 1, [(s, got[s]) for s in f]
+    assert len({got[f[0]] for f in families}) == len(families)
+
+
 def test_ambiguous_initial_joins_none(spark):
     rows = [("Maria Stonebridge",), ("Monica Stonebridge",), ("M. Stonebridge",)]
     got = {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame(rows, "spelling string")).collect()}
