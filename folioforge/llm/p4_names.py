@@ -264,7 +264,7 @@ def node_edges(names: DataFrame) -> DataFrame:
     Blocks are joined on their keys; a block is a surname with an initial, a phonetic code
     or a word but for one letter, and holds nodes, not spellings or rows.
     """
-    nodes = names.filter("kind <> 'A'").groupBy("node").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens"), F.first("first").alias("first"), F.countDistinct("spelling").alias("n"))
+    nodes = names.filter("kind <> 'A'").groupBy("node").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens"), F.first("first").alias("first"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,22 +272,19 @@ def node_edges(names: DataFrame) -> DataFrame:
             at = pa.array([i for i, ks in enumerate(every) for _ in ks], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([k for ks in every for k in ks], pa.string()), *(c.take(at) for c in b.columns)], names=["key", *b.schema.names])
 
-    rows = cut_lineage(nodes.select("node", "kind", "tokens", "first", "n").mapInArrow(keys, "key string, node string, kind string, tokens array<string>, first string, n long"))
-    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "kind", "tokens", "first", "n")])
-    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "kind", "tokens", "first", "n")])
+    rows = cut_lineage(nodes.select("node", "kind", "tokens", "first").mapInArrow(keys, "key string, node string, kind string, tokens array<string>, first string"))
+    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "kind", "tokens", "first")])
+    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "kind", "tokens", "first")])
     pairs = left.join(right, "key").filter("node_a < node_b").drop("key").dropDuplicates(["node_a", "node_b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             how = [compare(*({c: r[f"{c}_{s}"] for c in ("kind", "tokens", "first")} for s in "ab")) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], k) for c, k in (("node_a", pa.string()), ("node_b", pa.string()), ("n_a", pa.int64()), ("n_b", pa.int64()))] + [pa.array(how, pa.string())], names=["a", "b", "n_a", "n_b", "how"]
-            )
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.string()) for c in ("node_a", "node_b")), pa.array(how, pa.string())], names=["a", "b", "how"])
 
-    found = pairs.mapInArrow(check, "a string, b string, n_a long, n_b long, how string").filter("how <> ''")
-    # A slip is one odd spelling; two nodes that both have several spellings are two entities.
-    return cut_lineage(found.filter("how <> 'slip' or least(n_a, n_b) <= 1").select("a", "b", "how"))
+    # The kind of slip decides, not how often either is written: a frequent author's slip turns up in every format.
+    return cut_lineage(pairs.mapInArrow(check, "a string, b string, how string").filter("how <> ''"))
 
 
 def link_names(spellings: DataFrame) -> DataFrame:

@@ -36,6 +36,15 @@ def test_slips_in_names_of_any_length(spark):
     assert len({got[f[0]] for f in families}) == len(families)
 
 
+def test_a_slip_in_several_formats(spark):
+    """The same links, however many formats of the right name and of the slip there are."""
+    right, slip = (["Isabela Thornquist", "Thornquist, Isabela", "Dr. Isabela Thornquist"], ["Isabela Thornquits", "Thornquits, Isabela", "Dr. Isabela Thornquits"])
+    others = ["Rebecca Thornquist", "Thornquist, Rebecca"]
+    for n in (1, 2, 3):
+        got = {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame([(s,) for s in right[:n] + slip[:n] + others], "spelling string")).collect()}
+        assert len({got[s] for s in right[:n] + slip[:n]}) == 1 and len({got[s] for s in others}) == 1 and len(set(got.values())) == 2
+
+
 def test_ambiguous_initial_joins_none(spark):
     rows = [("Maria Stonebridge",), ("Monica Stonebridge",), ("M. Stonebridge",)]
     got = {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame(rows, "spelling string")).collect()}
