@@ -385,3 +385,27 @@ def test_split_books_takes_bookmarks(spark):
     got = C.split_books(df, "book", "text", bookmarks="marks").orderBy("book", "chapter_no").collect()
     assert [(r.book, r["mode"], r.title) for r in got] == [(1, "bookmark", "1. A"), (1, "bookmark", "2. B"), (1, "bookmark", "3. C"), (2, "single", "")]
     assert [r.body for r in got[:3]] == [pages[0].strip(), "\f".join(pages[1:3]).strip(), pages[3].strip()]
+
+
+def test_model_tier_splits_a_book_without_headings(spark):
+    class Picks:
+        """A model that answers with fixed lines, by their text."""
+
+        def __init__(self, wanted, extra=()):
+            self.wanted, self.extra = wanted, list(extra)
+
+        def complete(self, system, prompt, max_tokens):
+            rows = [line.split(" | ", 2) for line in prompt.split("\n") if line.count(" | ") >= 2]
+            return '{"chapters": %s}' % __import__("json").dumps([{"idx": int(i), "title": s} for i, _, s in rows if s in self.wanted] + self.extra)
+
+    rng = random.Random(13)
+    names = ["On mills", "On rivers", "On towns", "On winters"]
+    bodies = [_body(rng, 1200) for _ in names]
+    text = "".join(f"{t}\n{b}\n" for t, b in zip(names, bodies))
+    assert len(text) >= 20_000
+    df = spark.createDataFrame([(1, text), (2, text[:9000])], "book long, text string")
+    rows = C.split_books(df, "book", "text", model=Picks(names)).orderBy("book", "chapter_no").collect()
+    assert [(r["mode"], r.title) for r in rows] == [("llm", f"{i}. {t}") for i, t in enumerate(names, 1)] + [("single", "")]
+    assert [r.body for r in rows[:4]] == [f"{t}\n{b}".strip() for t, b in zip(names, bodies)]
+    for bad in (Picks(names[:2]), Picks(names, [{"idx": 10**6}]), Picks(names, [{"title": "x"}]), Picks(names, [{"idx": 0}] * 40), OfflineModel()):
+        assert C.split_text(text, pick=lambda t: C.pick_chapters(t, bad))[0] == "single"
