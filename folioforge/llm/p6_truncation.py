@@ -50,7 +50,6 @@ _ADDED_ENDS = frozenset(".…[])(><—기eEdDtT속")
 _FENCE = re.compile(r"\s*```\s*$")
 _CITED = re.compile(r"^>\s*—\s*\S.*,\s*p{1,2}\.\s*\d+(?:\s*[–-]\s*\d+)?\.?$")
 _DIGITS = re.compile(r"\d+")
-_LINE_END = re.compile(r"\s*\n\s*")
 #: Stands behind the last word of a line while words are counted.
 _EOL = "\x00"
 
@@ -127,17 +126,21 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("note_id", "model", "v.field", "v.text").filter(F.col("text").rlike(r"\S"))
 
 
+def _without_end(text: str) -> str:
+    """The text without the last two words of its last line."""
+    begin = text.rfind("\n") + 1
+    return text[:begin] + " ".join(text[begin:].split()[:-2])
+
+
 def _pairs_of(texts: list[tuple[str, bool]]) -> Counter[tuple[str, str]]:
     """Neighbouring words of the texts as they stand; the second of a pair is never a text's begin. A text that ends openly leaves out the place of its end."""
     words = []
     for t, whole in texts:
-        marked = _LINE_END.sub(_EOL + "\n", t.replace(_EOL, " ").strip()).split()
-        if not whole:
-            marked = marked[:-2] if len(marked) > 1 and not marked[-2].endswith(_EOL) else marked[:-1]
         words.append(_EOL)
-        if marked:
-            words += marked[:-1]
-            words.append(marked[-1] if marked[-1].endswith(_EOL) else marked[-1] + _EOL)
+        for line in t.replace(_EOL, " ").split("\n") if whole else _without_end(t.replace(_EOL, " ").rstrip()).split("\n"):
+            if own := line.split():
+                own[-1] += _EOL
+                words += own
     return Counter(zip(words, words[1:]))
 
 
