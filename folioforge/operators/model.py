@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import cut_lineage
+
 #: Share of Hangul and likeness to the source of a valid answer, characters compared, attempts and waits of calls.
 VALID_RATIO, VALID_LIKE, VALID_CHARS, ATTEMPTS, LIMIT_WAIT, WAIT = 0.08, 0.82, 2000, 5, 65, 4
 HEADING = re.compile(r"(?i)\s*(?:\d+(?:\.\d+)*|[IVXLC]+)\s+.+")
@@ -37,24 +39,49 @@ class OfflineModel:
         return "번역: " + " ".join("가나다라마바사아자차카타파하"[sum(map(ord, w)) % 14] * max(1, len(w) // 2) for w in text.split())
 
 
-def complete_json(model: TextModel, system: str, prompt: str, max_tokens: int, wait: Callable[[float], None] = time.sleep) -> dict | None:
-    """A JSON answer with retries inside the task: a task that is run again would pay every call again."""
+def complete_json(model: TextModel, system: str, prompt: str, max_tokens: int, wait: Callable[[float], None] | None = None) -> dict | None:
+    """A JSON answer, asked for again where it doesn't parse; None if it never does.
+
+    Without ``wait`` a provider that asks to wait raises ``RateLimited`` at once: inside a
+    task that would hold a core, so operators mark the row and ``with_waits`` asks again.
+    """
     for attempt in range(ATTEMPTS):
         try:
             got = lenient_json(model.complete(system, prompt, max_tokens) or "")
             if isinstance(got, dict):
                 return got
         except RateLimited:
+            if wait is None:
+                raise
             if attempt + 1 < ATTEMPTS:
                 wait(LIMIT_WAIT)
             continue
         except (ValueError, OSError):
             pass
-        if attempt + 1 < ATTEMPTS:
+        if wait is not None and attempt + 1 < ATTEMPTS:
             wait(WAIT)
     return None
 
 
+def with_waits(ask: Callable[[DataFrame], DataFrame], rows: DataFrame, key: str, wait: Callable[[float], None] = time.sleep, attempts: int = ATTEMPTS) -> DataFrame:
+    """``ask(rows)``, whose result has ``status``; rows that are ``limited`` are asked for again after a wait on the driver, while no task holds a core.
+
+    Each attempt's answers go through the checkpoint folder, so none is paid for twice. What is
+    still limited after the last attempt stays so and can be asked for by a later run.
+    """
+    done = None
+    for attempt in range(attempts):
+        got = cut_lineage(ask(rows))
+        last = attempt + 1 == attempts
+        ready = got if last else got.filter("status <> 'limited'")
+        done = ready if done is None else done.unionByName(ready)
+        if last or got.filter("status = 'limited'").isEmpty():
+            break
+        rows = rows.join(got.filter("status = 'limited'").select(key), key, "left_semi")
+        wait(LIMIT_WAIT)
+    return done
+
+
 def lenient_json(raw: str) -> dict:
     """The JSON of an answer: without a fence around it, else its first to last brace."""
     text = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", raw)

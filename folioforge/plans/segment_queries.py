@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from folioforge.functions import text as T
 from folioforge.operators import chapters as C
+from folioforge.operators import outline as O
 from folioforge.operators import cleanup as K
 from folioforge.operators import segment as G
 from folioforge.operators.layout import read_pages
@@ -146,7 +147,7 @@ def page_layout(spark: SparkSession, d: str) -> DataFrame:
 def chapter_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Chapters kept with a gap of 1500 characters, and where each ends."""
     c = table(spark, d, "chapters").select("file_id", F.col("start_pos").alias("pos")).distinct().filter("pos is not null")
-    kept = c.groupBy("file_id").agg(G.min_gap(F.array_sort(F.collect_list(F.struct("pos"))), C.GAP).alias("m")).select("file_id", F.explode("m").alias("m")).select("file_id", "m.pos")
+    kept = c.groupBy("file_id").agg(G.min_gap(F.array_sort(F.collect_list(F.struct("pos"))), O.GAP).alias("m")).select("file_id", F.explode("m").alias("m")).select("file_id", "m.pos")
     return C.chapter_bounds(kept, "file_id", "pos", F.lit(1_000_000)).select("file_id", F.col("pos").cast("long").alias("pos"), F.col("end_pos").cast("long").alias("end_pos"))
 
 

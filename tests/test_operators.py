@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioforge.operators import chapters as C
+from folioforge.operators import outline as O
 from folioforge.operators import cleanup as K
 from folioforge.operators import layout as L
 from folioforge.operators import matching as M
@@ -88,23 +89,23 @@ def test_numbered_headings_round_trip():
     rng = random.Random(1)
     bodies = [_body(rng, 300) for _ in range(5)]
     text = "".join(f"Chapter {i}: Mills and Rivers\n{b}\n" for i, b in enumerate(bodies, 1))
-    mode, got = C.split_text(text)
+    mode, got = O.split_text(text)
     assert mode == "numbered" and [b.split("\n", 1)[1] for _, b in got] == bodies and got[0][0] == "1. Mills and Rivers"
 
 
 def test_korean_chapters_and_running_heads():
     rng = random.Random(2)
     text = "1장 강의 시작 1\n2장 강의 끝 9\n" + "".join(f"제 {i} 장 강 이야기\n" + _body(rng, 400) + f"\n{i}장 강 이야기 2{i}\n" + _body(rng, 300) + "\n" for i in range(1, 5))
-    mode, got = C.split_text(text)
+    mode, got = O.split_text(text)
     assert mode == "numbered" and len(got) == 4
 
 
 def test_markdown_headings():
     rng = random.Random(3)
     md = "".join(f"## Part {c}\n\n{_body(rng, 600)}\n\n" for c in "ABCD") + "## References\n\nx"
-    mode, got = C.split_text(None, md)
+    mode, got = O.split_text(None, md)
     assert mode == "heading" and [t for t, _ in got] == ["Part A", "Part B", "Part C", "Part D"]
-    assert C.by_headings("no heads at all") is None
+    assert O.by_headings("no heads at all") is None
 
 
 def test_contents_lists():
@@ -112,26 +113,26 @@ def test_contents_lists():
     names = ["Early Cathedrals", "Quiet Lanterns", "Northern Bridges"]
     toc = "".join(f"{i}. {t} {i * 9}\n" for i, t in enumerate(names, 1))
     text = toc + "\n" + _body(rng, 100) + "\n" + "".join(f"{t.upper()}\n{_body(rng, 400)}\n" for t in names)
-    got = C.by_contents(text)
+    got = O.by_contents(text)
     assert got and [b.split("\n")[0] for _, b in got] == [t.upper() for t in names]
     roman = "".join(f"{r}. {t} ........ {i * 9}\n" for i, (r, t) in enumerate(zip(("I", "II", "III"), names), 1)) + _body(rng, 60) + "\n" + "".join(f"{r}. {t}\n{_body(rng, 400)}\n" for r, t in zip(("I", "II", "III"), names))
-    assert [t for t, _ in C.by_contents(roman)] == ["I. Early Cathedrals", "II. Quiet Lanterns", "III. Northern Bridges"]
-    assert C.roman_contents(roman.replace("II. Quiet Lanterns ...", "V. Quiet Lanterns ...", 1)) == []
+    assert [t for t, _ in O.by_contents(roman)] == ["I. Early Cathedrals", "II. Quiet Lanterns", "III. Northern Bridges"]
+    assert O.roman_contents(roman.replace("II. Quiet Lanterns ...", "V. Quiet Lanterns ...", 1)) == []
 
 
 def test_titles_are_located_with_slips():
     rng = random.Random(5)
     text = "Early Winters\nHarbour Letters\n" + _body(rng, 900) + "\n" + "Earlv Winters\n" + _body(rng, 600) + "\nHarbour  Lettcrs\n" + _body(rng, 600)
-    got = C.locate_titles(text, ["Early Winters", "Harbour Letters", "Absent Title"])
+    got = O.locate_titles(text, ["Early Winters", "Harbour Letters", "Absent Title"])
     assert [text[p:].split("\n")[0] for p, _ in got] == ["Earlv Winters", "Harbour  Lettcrs"]
 
 
 def test_bookmarks_on_pages():
     rng = random.Random(6)
     text = "\f".join(_body(rng, 400) for _ in range(6))
-    got = C.by_bookmarks(text, [("A", 0, 0), ("sub", 1, 1), ("B", 2, 0), ("C", 4, 0), ("out", 99, 0)])
+    got = O.by_bookmarks(text, [("A", 0, 0), ("sub", 1, 1), ("B", 2, 0), ("C", 4, 0), ("out", 99, 0)])
     assert [t for t, _ in got] == ["1. A", "2. B", "3. C"]
-    assert C.by_bookmarks(text, [("A", 0, 0), ("B", 2, 0)]) is None
+    assert O.by_bookmarks(text, [("A", 0, 0), ("B", 2, 0)]) is None
 
 
 def test_split_books_table(spark):
@@ -408,4 +409,4 @@ def test_model_tier_splits_a_book_without_headings(spark):
     assert [(r["mode"], r.title) for r in rows] == [("llm", f"{i}. {t}") for i, t in enumerate(names, 1)] + [("single", "")]
     assert [r.body for r in rows[:4]] == [f"{t}\n{b}".strip() for t, b in zip(names, bodies)]
     for bad in (Picks(names[:2]), Picks(names, [{"idx": 10**6}]), Picks(names, [{"title": "x"}]), Picks(names, [{"idx": 0}] * 40), OfflineModel()):
-        assert C.split_text(text, pick=lambda t: C.pick_chapters(t, bad))[0] == "single"
+        assert O.split_text(text, pick=lambda t: O.pick_chapters(t, bad))[0] == "single"
