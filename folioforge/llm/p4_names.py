@@ -1,11 +1,14 @@
 """Problem 4: variant spellings of names typed by people.
 
-Different spellings are parsed into nodes (a person's tokens in any order, nicknames
-resolved; an institute's place and field), so format variants meet in a node without
-being compared. Nodes are blocked by the phonetic codes of their sorted tokens and, for
-slips that change the code, by a token with one character left out beside the other
-tokens as they are; Jaro-Winkler and the kind of slip decide. Accepted pairs and nodes are
-clustered by connected components.
+Different spellings are parsed into nodes (a person's tokens in any order and middle
+initials, nicknames of one name resolved; an institute's place and field), so format
+variants meet in a node without being compared. Nodes are blocked by the phonetic code of
+one of their sorted tokens beside the others as they are and, for slips that change the
+code, by that token with one character left out; Jaro-Winkler and the kind of slip decide.
+Two names differ in one token at most, so these blocks lose none that whole codes would
+hold, and a common surname or code doesn't make a block large. Accepted pairs and nodes are
+clustered by connected components; a short form, a missing middle initial or a name by
+initial joins the one entity it can mean, or none.
 """
 
 from __future__ import annotations
@@ -31,14 +34,20 @@ NICKNAMES = {
     "adelaide": "addie adele heidi", "alexander": "alex alec sandy xander", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny benji", "catherine": "katherine kathryn cathy kathy kate katie cat kat",
     "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny", "dorothea": "dot dottie dora thea", "edward": "ed eddie ned", "elizabeth": "liz lizzie beth betty eliza ellie",
     "emmanuel": "manny emanuel", "florence": "flo flora flossie", "frederick": "fred freddie", "gabriella": "gabby gabi ella", "henry": "harry hank", "isabella": "bella izzy isabel bel",
-    "jacob": "jake", "james": "jim jimmy jamie", "jonathan": "jon jonny nathan", "john": "jack johnny", "joseph": "joe joey", "josephine": "josie jo josey",
-    "lawrence": "larry laurie lars lawrie", "leonard": "leo len", "margaret": "maggie meg peggy", "matthias": "matt matty", "matthew": "mat", "michael": "mike mick", "mireille": "mimi mirei",
+    "jacob": "jake", "james": "jim jimmy jamie", "jonathan": "jon jonny nathan", "john": "jack johnny", "joseph": "joe joey", "josephine": "josie jo josey", "alexandra": "alex sandy", "christina": "chris tina", "samantha": "sam", "patrick": "pat paddy",
+    "lawrence": "larry laurie lars lawrie", "leonard": "leo len", "margaret": "maggie meg peggy", "matthias": "matt matty", "matthew": "mat matt matty", "michael": "mike mick", "mireille": "mimi mirei",
     "nathaniel": "nate nat", "nicholas": "nick nicky", "olivia": "liv livvy ollie", "patricia": "pat trish", "penelope": "penny pen nell", "richard": "dick rick rich ricky richie",
     "robert": "bob rob bobby robbie", "samuel": "sam sammy", "sebastian": "seb bastian", "stephen": "steve", "susanna": "sue susie suzy susan", "tabitha": "tabby tabs", "theodore": "ted theo teddy",
     "thomas": "tom tommy", "timothy": "tim", "ursula": "ulla uschi", "victoria": "vicky tori", "william": "bill will billy willie liam", "yolanda": "yoli yola lanny", "zacharias": "zach zack zak",
     "zenobia": "zen nobia", "beatrice": "bea trixie", "cornelius": "neil corny", "dominic": "dom", "eleanor": "nora", "gregory": "greg", "jeremiah": "jerry", "maximilian": "max", "rosalind": "roz", "vincent": "vince",
 }
-_FULL = {s: full for full, shorts in NICKNAMES.items() for s in shorts.split()}
+_MEANT: dict[str, list[str]] = {}
+for _full, _shorts in NICKNAMES.items():
+    for _s in _shorts.split():
+        _MEANT.setdefault(_s, []).append(_full)
+#: Short forms of one name stand for it; those of several are resolved by who there is.
+_FULL = {s: fulls[0] for s, fulls in _MEANT.items() if len(fulls) == 1}
+_MEANT = {s: fulls for s, fulls in _MEANT.items() if len(fulls) > 1}
 
 #: Titles, words for institutes, and words without meaning in their names.
 _TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|miss|sir|dame|rev|phd|md)\b\.?\s*)+|(?:\s*(?:교수|박사|선생|님|씨|연구원))+$|(?:,?\s*(?:phd|ph\.d\.?|md|m\.d\.?|jr\.?|sr\.?))+$", re.I)
@@ -76,7 +85,7 @@ def romanize(name: str) -> list[str]:
 
 
 def parse(spelling: str) -> dict:
-    """A spelling as a node: ``kind`` (P person, N person by initial, I institute, A acronym), ``tokens``, ``first`` (initials), ``also`` (acronym)."""
+    """A spelling as a node: ``kind`` (P person, N person by initial, I institute, A acronym), ``tokens``, ``first`` (initials; of a person with a whole given name the others), ``also`` (acronym)."""
     s = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", spelling)).strip()
     if re.fullmatch(r"[A-Z]{3,10}", s):
         return {"kind": "A", "tokens": [s], "first": "", "also": ""}
@@ -99,7 +108,7 @@ def parse(spelling: str) -> dict:
         full = [words[0], words[1] + words[2]]
     if len(full) == 1 and initials:
         return {"kind": "N", "tokens": full, "first": initials, "also": ""}
-    return {"kind": "P", "tokens": sorted(_FULL.get(w, w) for w in full), "first": "", "also": ""}
+    return {"kind": "P", "tokens": sorted(_FULL.get(w, w) for w in full), "first": initials, "also": ""}
 
 
 def _institute(s: str) -> dict:
@@ -181,24 +190,34 @@ def one_slip(a: str, b: str) -> bool:
 
 
 def block_keys(kind: str, tokens: list[str], first: str) -> list[str]:
-    """The blocks in which a node is compared."""
+    """The blocks in which a node is compared; in those that begin with N only with names by initial."""
     dropped = lambda w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} if len(w) >= SLIP_CHARS else {w}
     if kind == "I":
         heads = "".join(w[:1] for w in tokens[1:])
         return sorted({f"I{d}|{heads}" for d in dropped(tokens[0])} | {f"IP{phonetic(tokens[0])}|{heads}"})
     if kind == "N":
         return [f"N{tokens[0]}|{first[:1]}"]
-    keys = set()
+    keys = {"K" + "|".join(t) for t in meant(tokens)}
     for form in forms(tokens):
-        keys.add("S" + "|".join(sorted(map(phonetic, form))))
         for i, w in enumerate(form):
             rest = "|".join(form[:i] + form[i + 1 :])
+            keys.add(f"S{rest}|{phonetic(w)}")
             keys |= {f"D{rest}|{d}" for d in dropped(w)}
             if len(tokens) == 2:
                 keys.add(f"N{rest}|{w[:1]}")
     return sorted(keys)
 
 
+def meant(tokens: list[str]) -> list[list[str]]:
+    """The tokens with each short form of several names as every name it may stand for, and themselves."""
+    return [sorted(t) for t in itertools.product(*[[w, *_MEANT.get(w, ())] for w in tokens])]
+
+
+def agree(a: str, b: str) -> bool:
+    """Can both strings of initials belong to one person?"""
+    return a.startswith(b) or b.startswith(a)
+
+
 def forms(tokens: list[str]) -> list[list[str]]:
     """The sorted tokens of a person, and where three are syllables but for one (a slip may have made it none), any two of them joined."""
     if len(tokens) != 3 or sum(w in _SYLLABLES for w in tokens) < 2:
@@ -207,7 +226,7 @@ def forms(tokens: list[str]) -> list[list[str]]:
 
 
 def compare(a: dict, b: dict) -> str:
-    """How two nodes of a block belong together: ``slip``, ``initial`` or not at all (empty)."""
+    """How two nodes of a block belong together: ``same``; ``middle`` (one has a middle initial), ``short`` (a short form of several names), ``initial`` (a name by initial), which join only what is unique; or not at all (empty)."""
     if a["kind"] == "I" and b["kind"] == "I":
         x, y = a["tokens"], b["tokens"]
         if len(x) != len(y):
@@ -218,24 +237,25 @@ def compare(a: dict, b: dict) -> str:
         for u, v in zip(x[1:], y[1:]):
             if not (u.startswith(v) or v.startswith(u) or (same_place and one_slip(u, v))) or min(len(u), len(v)) < 2:
                 return ""
-        return "initial" if same_place else "slip"
+        return "same"
     if a["kind"] == "N" or b["kind"] == "N":
         if a["kind"] != "N":
             a, b = b, a
         if b["kind"] == "N":
-            short, long = sorted((a["first"], b["first"]), key=len)
-            return "initial" if a["tokens"] == b["tokens"] and long.startswith(short) else ""
-        for i in (0, 1):
-            if len(b["tokens"]) == 2 and b["tokens"][i] == a["tokens"][0] and b["tokens"][1 - i][:1] == a["first"][:1]:
+            return "initial" if a["tokens"] == b["tokens"] and agree(a["first"], b["first"]) else ""
+        for given, name in (b["tokens"], b["tokens"][::-1]) if len(b["tokens"]) == 2 else ():
+            if name == a["tokens"][0] and given[:1] == a["first"][:1] and agree(a["first"][1:], b["first"]):
                 return "initial"
         return ""
+    if not agree(a["first"], b["first"]):
+        return ""
     for x, y in itertools.product(forms(a["tokens"]), forms(b["tokens"])):
         if len(x) != len(y):
             continue
         u, v = [*(Counter(x) - Counter(y)).elements()], [*(Counter(y) - Counter(x)).elements()]
         if not u or len(u) == 1 and jaro_winkler(u[0], v[0]) >= SIMILAR and one_slip(u[0], v[0]):
-            return "slip"
-    return ""
+            return "same" if a["first"] == b["first"] else "middle"
+    return "short" if a["tokens"] in meant(b["tokens"]) or b["tokens"] in meant(a["tokens"]) else ""
 
 
 _NODE = "node string, kind string, tokens array<string>, first string, also string"
@@ -261,8 +281,9 @@ def parsed(spellings: DataFrame) -> DataFrame:
 def node_edges(names: DataFrame) -> DataFrame:
     """``a, b, how`` of nodes that a block holds and the comparison accepts.
 
-    Blocks are joined on their keys; a block is a surname with an initial, a phonetic code
-    or a word but for one letter, and holds nodes, not spellings or rows.
+    Blocks are joined on their keys and hold nodes, not spellings or rows. A block of a
+    surname and an initial may be large: there only the names by initial, of which there are
+    a few, are held against the others, never full names against each other.
     """
     nodes = names.filter("kind <> 'A'").groupBy("node").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens"), F.first("first").alias("first"))
 
@@ -273,9 +294,11 @@ def node_edges(names: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k for ks in every for k in ks], pa.string()), *(c.take(at) for c in b.columns)], names=["key", *b.schema.names])
 
     rows = cut_lineage(nodes.select("node", "kind", "tokens", "first").mapInArrow(keys, "key string, node string, kind string, tokens array<string>, first string"))
-    left = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "kind", "tokens", "first")])
-    right = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "kind", "tokens", "first")])
-    pairs = left.join(right, "key").filter("node_a < node_b").drop("key").dropDuplicates(["node_a", "node_b"])
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "kind", "tokens", "first")])
+    own, by_initial = rows.filter(~F.col("key").startswith("N")), rows.filter(F.col("key").startswith("N"))
+    pairs = side(own, "a").join(side(own, "b"), "key").filter("node_a < node_b")
+    pairs = pairs.unionByName(side(by_initial.filter("kind = 'N'"), "a").join(side(by_initial, "b"), "key").filter("kind_b = 'P' or node_a < node_b"))
+    pairs = pairs.drop("key").dropDuplicates(["node_a", "node_b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,24 +314,32 @@ def link_names(spellings: DataFrame) -> DataFrame:
     """``spelling, entity``: each different spelling and its entity (the smallest node).
 
     ``spellings`` has one column ``spelling``; repeats, nulls and blanks don't matter. A name
-    with an initial joins the one entity of that surname and initial; if several entities
-    could be meant, it joins none.
+    with an initial joins the one entity of that surname and initial, a name without a middle
+    initial the one that has one, a short form of several names the one that there is; if
+    several entities could be meant, they join none.
     """
     names = cut_lineage(parsed(spellings.distinct()))
     edges = node_edges(names)
-    person = F.col("a").startswith("N:") | F.col("b").startswith("N:")
-    sure = edges.filter(~person).select("a", "b")
+    every = names.select("node").distinct()
     short = names.filter("also <> ''").select(F.col("node").alias("a"), F.concat(F.lit("A:"), F.col("also")).alias("b"))
-    every = names.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    groups = connected_components(sure.unionByName(short))
-    groups = cut_lineage(every.join(groups, every["a"] == groups["node"], "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component")))
-
-    initial = edges.filter(person)
-    initial = initial.select(F.when(F.col("a").startswith("N:"), F.col("a")).otherwise(F.col("b")).alias("n"), F.when(F.col("a").startswith("N:"), F.col("b")).otherwise(F.col("a")).alias("p"))
-    to_full = initial.filter(~F.col("p").startswith("N:")).join(groups.select(F.col("node").alias("p"), "component"), "p")
+    sure = edges.filter("how = 'same'").select("a", "b").unionByName(short)
+    groups = _components(every, sure)
+    # Who a short form or a name without middle initial means is settled before names by initial are.
+    for how in ("short", "middle"):
+        links = _unique(groups, edges.filter(F.col("how") == how))
+        if not links.isEmpty():
+            groups = _components(every, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    initial = edges.filter("how = 'initial'")
+    to_full = initial.filter(~F.col("b").startswith("N:")).select(F.col("a").alias("n"), F.col("b").alias("p")).join(groups.select(F.col("node").alias("p"), "component"), "p")
+    # A second initial must agree with the middle initial that the entity is known to have.
+    middles = groups.filter("node like 'P:%#%'").select("component", F.substring_index("node", "#", -1).alias("middle")).distinct()
+    second = F.substring(F.substring_index("n", "#", -1), 2, 100)
+    against = ~(second.startswith(F.col("middle")) | F.col("middle").startswith(second))
+    to_full = to_full.join(middles, "component", "left").groupBy("n", "component").agg(F.max(F.coalesce(against, F.lit(False))).alias("against")).filter("not against")
     one = to_full.groupBy("n").agg(F.min("component").alias("c"), F.countDistinct("component").alias("k"))
     clear, unclear = one.filter("k = 1").select("n", "c"), one.filter("k > 1").select("n")
-    among = initial.filter(F.col("p").startswith("N:")).join(unclear, "n", "left_anti").join(unclear.select(F.col("n").alias("p")), "p", "left_anti")
+    among = initial.filter(F.col("b").startswith("N:")).select(F.col("a").alias("n"), F.col("b").alias("p")).join(unclear, "n", "left_anti").join(unclear.select(F.col("n").alias("p")), "p", "left_anti")
     # Every spelling hangs on its node and each node on its component, so nothing is expanded into pairs here.
     links = groups.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = links.unionByName(clear.select(F.col("n").alias("a"), F.col("c").alias("b"))).unionByName(among.select(F.col("n").alias("a"), F.col("p").alias("b")))
@@ -316,6 +347,24 @@ def link_names(spellings: DataFrame) -> DataFrame:
     return names.join(whole, "node", "left").select("spelling", F.coalesce("component", "node").alias("entity"))
 
 
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` of every node."""
+    found = connected_components(links)
+    return cut_lineage(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def _unique(groups: DataFrame, weak: DataFrame) -> DataFrame:
+    """``a, b``: components that weak edges tie to one other component only, which is then the one meant.
+
+    The less certain side of an edge is the component without middle initial (``middle``) or with the short form (``short``).
+    """
+    middle = F.when(F.col("how") == "middle", ~F.col("a").contains("#")).otherwise(F.exists(F.split(F.substring("a", 3, 10_000), "[|#]"), lambda w: w.isin(*_MEANT)))
+    turned = weak.select(F.when(middle, F.col("a")).otherwise(F.col("b")).alias("n"), F.when(middle, F.col("b")).otherwise(F.col("a")).alias("p"))
+    tied = turned.join(groups.select(F.col("node").alias("n"), F.col("component").alias("a")), "n").join(groups.select(F.col("node").alias("p"), F.col("component").alias("b")), "p")
+    one = tied.filter("a <> b").groupBy("a").agg(F.min("b").alias("b"), F.countDistinct("b").alias("k"))
+    return one.filter("k = 1").select("a", "b")
+
+
 def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "wiki_notes").select(F.col("author").alias("spelling"))
     papers = table(spark, sf_dir, "papermeta").select(F.explode(F.split("author", ";")).alias("spelling")).select(F.trim("spelling").alias("spelling"))

@@ -45,6 +45,60 @@ def test_a_slip_in_several_formats(spark):
         assert len({got[s] for s in right[:n] + slip[:n]}) == 1 and len({got[s] for s in others}) == 1 and len(set(got.values())) == 2
 
 
+def _entities(spark, names):
+    return {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame([(s,) for s in names], "spelling string")).collect()}
+
+
+def test_middle_initials(spark):
+    """Different middle initials are different people; a name without one joins the only one there is."""
+    got = _entities(spark, ["John A. Smithson", "Smithson, John A.", "Johnny A. Smithson", "John B. Smithson", "John Smithson", "Mary C. Oakfield", "Mary Oakfield", "M. C. Oakfield", "M. D. Oakfield"])
+    assert got["John A. Smithson"] == got["Smithson, John A."] == got["Johnny A. Smithson"]
+    assert len({got[s] for s in ("John A. Smithson", "John B. Smithson", "John Smithson")}) == 3
+    assert got["Mary C. Oakfield"] == got["Mary Oakfield"] == got["M. C. Oakfield"] != got["M. D. Oakfield"]
+
+
+def test_short_forms_of_several_names(spark):
+    got = _entities(spark, ["Matt Lindqvist", "Matthew Lindqvist", "Matty Harrowgate", "Matthias Harrowgate", "Alex Oakfield", "Alexander Oakfield", "Alexandra Oakfield", "A. Lindqvist", "M. Lindqvist"])
+    assert got["Matt Lindqvist"] == got["Matthew Lindqvist"] == got["M. Lindqvist"] and got["Matty Harrowgate"] == got["Matthias Harrowgate"]
+    assert len({got[s] for s in got if "Oakfield" in s}) == 3 and got["A. Lindqvist"] not in (got["Matt Lindqvist"],)
+
+
+def test_one_token_in_other_scripts(spark):
+    got = _entities(spark, ["山田太郎", "山田 太郎", "ヤマダタロウ", "ヤマダタロ", "田中太郎"])
+    assert got["ヤマダタロウ"] == got["ヤマダタロ"] and got["山田太郎"] != got["田中太郎"]
+
+
+def test_blocks_lose_no_link(spark):
+    """The edges of the blocks are those of a comparison of all nodes with all."""
+    import random
+
+    rng = random.Random(9)
+    given, family = ["matt", "matthew", "maria", "mariia", "elena", "john", "a", "j", "bea", "beatrice", "jo"], ["stonebridge", "stonebrdge", "stobebridge", "oakfield", "okafield", "li", "ly"]
+    names = {" ".join(w.capitalize() + ("." if len(w) == 1 else "") for w in rng.sample(given, rng.choice([1, 1, 2])) + [rng.choice(family)]) for _ in range(220)}
+    names |= {f"{p} Institute of {f}" for p in ("Brackwater", "Brackwatr", "Oakfield") for f in ("Marine Biology", "Mar. Biol.", "Linguistics")}
+    got = {(r.a, r.b): r.how for r in p4.node_edges(p4.parsed(spark.createDataFrame([(s,) for s in names], "spelling string"))).collect()}
+    nodes = {p4.node_of(n): n for n in map(p4.parse, names)}
+    want = {}
+    for a, b in itertools.combinations(sorted(nodes), 2):
+        if how := p4.compare(nodes[a], nodes[b]):
+            want[a, b] = how
+    assert {tuple(sorted(k)): v for k, v in got.items()} == want
+    assert {"same", "middle", "short", "initial"} <= set(want.values())
+
+
+def test_common_surname_makes_no_large_block(spark):
+    """Two thousand names of one surname and initial, a hundred of one phonetic code: nothing near the square is compared."""
+    import random
+
+    rng = random.Random(10)
+    names = {"J" + "".join(rng.choice("aeiou") + rng.choice("bdglmnrst") for _ in range(4)) + " Stonebridge" for _ in range(2000)}
+    keys = [k for n in names for k in p4.block_keys("P", p4.parse(n)["tokens"], "") if k[0] != "N"]
+    size = {}
+    for k in keys:
+        size[k] = size.get(k, 0) + 1
+    assert sum(v * v for v in size.values()) < 0.01 * len(names) ** 2 + 20 * len(keys)
+
+
 def test_ambiguous_initial_joins_none(spark):
     rows = [("Maria Stonebridge",), ("Monica Stonebridge",), ("M. Stonebridge",)]
     got = {r.spelling: r.entity for r in p4.link_names(spark.createDataFrame(rows, "spelling string")).collect()}
