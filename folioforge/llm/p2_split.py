@@ -1,8 +1,9 @@
 """Problem 2: splitting oversized items at natural boundaries.
 
-An item is read as ranges with halos, never as a whole: ``text_ranges`` cuts a string
-column, ``file_ranges`` lets workers seek in files. Neighbouring ranges see the same
-text around their common edge and so agree on the boundary there (the anchor) without
+An item is read as byte ranges with halos and never decoded as a whole: ``text_ranges``
+takes the bytes of a column's values as they lie in the Arrow buffer, ``file_ranges`` lets
+workers seek in files; both read ranges by the same rule. Neighbouring ranges see the
+same text around their common edge and so agree on the boundary there (the anchor) without
 talking to each other; between two anchors a worker cuts pieces greedily, each of which
 begins ``overlap`` characters before the end of the one before. Lengths and piece
 numbers come from two-level prefix sums over the small table of ranges.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,10 @@ from pyspark.sql.window import Window as W
 
 from folioforge.session import table
 
-#: A range spans this many pieces' limits; an item of up to that length is one range.
+#: Bytes of a range, in pieces' limits; an item of fewer than twice as many bytes is one range.
 RANGE_LIMITS = 64
+#: Characters of ranges that are passed on together.
+HELD = 4_000_000
 #: Ranges in a block of the two-level prefix sums.
 BLOCK = 1024
 
@@ -71,32 +74,62 @@ def cut_between(text: str, begin: int, end: int, limit: int, overlap: int) -> li
     return out
 
 
-def _spans(limit: Column, overlap: Column) -> tuple[Column, Column, Column]:
-    """Length of a range, reach of an anchor, halo."""
-    reach = F.greatest(F.lit(1), F.floor((limit - overlap) / 4))
-    return limit * RANGE_LIMITS, reach, reach + overlap
+def halo_of(limit: int, overlap: int) -> int:
+    """Characters a range must see beyond its edges: an anchor's reach, the overlap, and one more to tell whether a cut parts a character from its marks."""
+    return max(1, (limit - overlap) // 4) + overlap + 1
+
+
+def read_range(fetch: Callable[[int, int], bytes], n: int, lo: int, hi: int, halo: int) -> tuple[str, str, str]:
+    """Left halo, core and right halo of the bytes lo..hi of n, each halo of up to ``halo`` characters. A character belongs to the range that holds its first byte."""
+    a = max(0, lo - 4 * halo - 3)
+    raw = fetch(a, min(n, hi + 4 * halo + 3))
+    begin = lambda i: next((j for j in range(i, min(i + 4, len(raw))) if raw[j] & 0xC0 != 0x80), min(i, len(raw)))
+    l, c, r, e = begin(max(0, lo - 4 * halo - a)), begin(lo - a), begin(min(hi, n) - a), begin(min(n, hi + 4 * halo) - a)
+    left, core, right = (str(raw[i:j], "utf-8", "replace") for i, j in ((l, c), (c, r), (r, e)))
+    return left[-halo:], core, right[:halo]
 
 
 def text_ranges(items: DataFrame) -> DataFrame:
-    """Ranges of ``items`` (item_kind, item_id, text, max_chars, overlap_chars).
+    """Ranges of ``items`` (item_kind, item_id, text, max_chars, overlap_chars), in one narrow pass over the values' bytes.
 
     A row a range: its number, the count of ranges, the offset of its first character and
-    ``chunk`` with ``halo`` characters more at either side where there are any. Null and
-    empty texts have no range. The limit is at least 1 and the overlap at most half of it.
+    ``chunk`` with a halo at either side where there is text. Only a range is decoded and
+    copied at a time, and rows are passed on by ``HELD`` characters. Null and empty texts
+    have no range. The limit is at least 1 and the overlap at most half of it.
     """
     limit = F.greatest(F.lit(1), F.coalesce("max_chars", F.lit(2**31 - 1)).cast("long"))
-    overlap = F.least(F.greatest(F.lit(0), F.coalesce("overlap_chars", F.lit(0)).cast("long")), F.floor(limit / 2))
-    df = items.select("item_kind", "item_id", "text", limit.alias("max_chars"), overlap.alias("overlap_chars"), F.length("text").cast("long").alias("n_chars"))
-    df = df.filter(F.col("n_chars") > 0)
-    span, _, halo = _spans(F.col("max_chars"), F.col("overlap_chars"))
-    df = df.withColumn("span", span.cast("long")).withColumn("halo", halo.cast("long"))
-    df = df.withColumn("n_ranges", F.ceil(F.col("n_chars") / F.col("span")).cast("long"))
-    df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_ranges") - 1)).alias("range_no"))
-    at = F.col("range_no") * F.col("span")
-    begin = F.greatest(F.lit(0).cast("long"), at - F.col("halo"))
-    stop = at + F.col("span") + F.col("halo")
-    chunk = F.when(F.col("n_ranges") == 1, F.col("text")).otherwise(F.substring("text", (begin + 1).cast("int"), (stop - begin).cast("int")))
-    return df.select("item_kind", "item_id", "range_no", "n_ranges", "max_chars", "overlap_chars", "span", at.alias("at"), begin.alias("chunk_at"), chunk.alias("chunk"))
+    overlap = F.least(F.greatest(F.lit(0), F.coalesce("overlap_chars", F.lit(0)).cast("long")), F.floor(limit / 2)).cast("long")
+    df = items.select("item_kind", F.col("item_id").cast("long").alias("item_id"), "text", limit.alias("max_chars"), overlap.alias("overlap_chars")).filter("text <> ''")
+
+    def ranges(b: pa.RecordBatch) -> Iterator[dict]:
+        kinds, ids, limits, overlaps = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
+        for kind, item, value, limit, overlap in zip(kinds, ids, b.column(2), limits, overlaps):
+            view = memoryview(value.as_buffer())
+            n, span, at = len(view), limit * RANGE_LIMITS, 0
+            count = max(1, n // span)  # the last range takes the rest, so that none is shorter than an anchor's reach
+            for k in range(count):
+                stop = n if k + 1 == count else (k + 1) * span
+                left, core, right = read_range(lambda x, y: view[x:y], n, k * span, stop, halo_of(limit, overlap))
+                yield {"item_kind": kind, "item_id": item, "range_no": k, "n_ranges": count, "max_chars": limit, "overlap_chars": overlap, "span": len(core), "at": at, "chunk_at": at - len(left), "chunk": left + core + right}
+                at += len(core)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _batched(ranges(b))
+
+    return df.mapInArrow(run, _RANGE_SCHEMA)
+
+
+def _batched(rows: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+    """Range rows as batches of about ``HELD`` characters."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r["chunk"])
+        if size >= HELD:
+            yield pa.RecordBatch.from_pylist(held, schema=_RANGE_ARROW)
+            held, size = [], 0
+    yield pa.RecordBatch.from_pylist(held, schema=_RANGE_ARROW)
 
 
 def file_ranges(spark: SparkSession, files: list[tuple[str, int, int]], limit: int, overlap: int, kind: str = "file") -> DataFrame:
@@ -107,41 +140,37 @@ def file_ranges(spark: SparkSession, files: list[tuple[str, int, int]], limit: i
     its character offset, and the second pass reads the chunks. Characters belong to the
     range that holds their first byte. The paths must be readable by every worker.
     """
-    span, halo_chars = limit * RANGE_LIMITS, max(1, (limit - overlap) // 4) + overlap
-    halo = 4 * halo_chars
+    span, halo = limit * RANGE_LIMITS, halo_of(limit, overlap)
     plan = spark.createDataFrame(files, "path string, item_id long, n_bytes long").filter("n_bytes > 0")
-    plan = plan.withColumn("n_ranges", F.ceil(F.col("n_bytes") / span).cast("long"))
+    plan = plan.withColumn("n_ranges", F.greatest(F.lit(1), F.floor(F.col("n_bytes") / span)).cast("long"))
     plan = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_ranges") - 1)).alias("range_no"))
     plan = plan.repartition(F.xxhash64("item_id", "range_no"))
 
-    def read(path: str, lo: int, hi: int, n: int) -> tuple[str, str, str]:
-        """Left halo, core and right halo of the bytes lo..hi, cut at character starts."""
-        with open(path, "rb") as f:
-            a = max(0, lo - halo - 3)
-            f.seek(a)
-            raw = f.read(min(n, hi + halo + 3) - a)
-        begin = lambda i: next((j for j in range(i, min(i + 4, len(raw))) if raw[j] & 0xC0 != 0x80), min(i, len(raw)))
-        l, c, r, e = begin(max(0, lo - halo - a)), begin(lo - a), begin(min(hi, n) - a), begin(min(n, hi + halo) - a)
-        return tuple(x.decode("utf-8", "replace") for x in (raw[l:c], raw[c:r], raw[r:e]))
+    def read(x: dict, reach: int) -> tuple[str, str, str]:
+        def fetch(a: int, b: int) -> bytes:
+            with open(x["path"], "rb") as f:
+                f.seek(a)
+                return f.read(b - a)
+
+        stop = x["n_bytes"] if x["range_no"] + 1 == x["n_ranges"] else (x["range_no"] + 1) * span
+        return read_range(fetch, x["n_bytes"], x["range_no"] * span, stop, reach)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            n = [len(read(x["path"], x["range_no"] * span, (x["range_no"] + 1) * span, x["n_bytes"])[1]) for x in rows]
+            n = [len(read(x, 1)[1]) for x in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "core"])
 
     counted = plan.mapInArrow(count, "path string, item_id long, n_bytes long, n_ranges long, range_no long, core long")
     counted = prefix_sum(counted, ["item_id"], "range_no", "core", "at")
 
+    def ranges(b: pa.RecordBatch) -> Iterator[dict]:
+        for x in b.to_pylist():
+            left, core, right = read(x, halo)
+            yield {"item_kind": kind, "item_id": x["item_id"], "range_no": x["range_no"], "n_ranges": x["n_ranges"], "max_chars": limit, "overlap_chars": overlap, "span": len(core), "at": x["at"], "chunk_at": x["at"] - len(left), "chunk": left + core + right}
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.to_pylist():
-                left, core, right = read(x["path"], x["range_no"] * span, (x["range_no"] + 1) * span, x["n_bytes"])
-                left, right = left[-halo_chars:], right[:halo_chars]
-                yield pa.RecordBatch.from_pylist(
-                    [{"item_kind": kind, "item_id": x["item_id"], "range_no": x["range_no"], "n_ranges": x["n_ranges"], "max_chars": limit, "overlap_chars": overlap, "span": len(core), "at": x["at"], "chunk_at": x["at"] - len(left), "chunk": left + core + right}],
-                    schema=_RANGE_ARROW,
-                )
+            yield from _batched(ranges(b))
 
     return counted.mapInArrow(load, _RANGE_SCHEMA)
 
@@ -268,7 +297,16 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitch(text_ranges(_items(spark, sf_dir))).drop("max_chars")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_sizes": p2_sizes}
+def p2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item put together from its pieces without what they share, and whether every piece keeps the limit."""
+    limits = table(spark, sf_dir, "split_limits").select("item_kind", "max_chars", "overlap_chars")
+    pieces = p2_pieces(spark, sf_dir).join(F.broadcast(limits), "item_kind")  # two fixed rows
+    own = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.substring("text", F.col("overlap_chars") + 1, F.length("text")))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))), lambda x: x["own"])
+    return pieces.groupBy("item_kind", "item_id").agg(F.md5(F.array_join(rows, "")).alias("text"), F.min(F.length("text") <= F.col("max_chars")).alias("within"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_sizes": p2_sizes, "p2_roundtrip": p2_roundtrip}
 
 _SIZES = """
     WITH items AS (
@@ -280,6 +318,8 @@ _SIZES = """
         FROM items)
 """
 SQL = {
+    "p2_roundtrip": """SELECT DISTINCT 'txt' AS item_kind, file_id AS item_id, md5(txt) AS text, true AS within FROM txt_files WHERE txt <> ''
+        UNION ALL SELECT DISTINCT 'chapter', chapter_id, md5(body), true FROM chapters WHERE body <> ''""",
     "p2_sizes": _SIZES + "SELECT * FROM sizes",
     "p2_found": _SIZES
     + """

@@ -31,12 +31,12 @@ def _check(rows, text, limit, overlap):
             assert r["end"] > rows[i - 1]["end"]
 
 
-@pytest.mark.parametrize("span", [2, 64])
+@pytest.mark.parametrize("span", [4, 64])
 def test_pieces_cover_the_text_within_the_limit(spark, monkeypatch, span):
     monkeypatch.setattr(p2, "RANGE_LIMITS", span)
     monkeypatch.setattr(p2, "BLOCK", 3)
     rng = random.Random(5)
-    texts = {i: _text(rng, n) for i, n in enumerate([1, 39, 40, 41, 200, 1777, 4000])} | {90: "z" * 900, 91: "가" * 301}
+    texts = {i: _text(rng, n) for i, n in enumerate([1, 39, 40, 41, *range(300, 345), 1777, 4000])} | {90: "z" * 900, 91: "가" * 301}
     rows = [("txt", i, t, 40, 7) for i, t in texts.items()] + [("txt", 500, None, 40, 7), ("txt", 501, "", 40, 7)]
     got = p2.split_items(p2.text_ranges(_items(spark, rows))).orderBy("item_id", "piece_no").collect()
     by = {}
@@ -74,6 +74,28 @@ def test_files_give_the_same_cover(spark, monkeypatch, tmp_path):
     assert size["n_chars"] == len(text)
 
 
+@pytest.mark.parametrize("limit, overlap", [(100, 0), (10, 0), (12, 5), (3, 1)])
+def test_ranges_agree_at_marks_without_breaks(spark, monkeypatch, limit, overlap):
+    """Combining marks, joiners and four-byte characters at the ranges' edges: neighbours cut at the same place."""
+    rng = random.Random(limit)
+    for span in (12, 64):
+        monkeypatch.setattr(p2, "RANGE_LIMITS", span)
+        texts = {i: "".join(rng.choice(["e\u0301", "a\u0300\u0301\u0302", "가", "x", "👩\u200d👩", "é", "ｱ"]) for _ in range(4000)) for i in range(3)}
+        got = p2.split_items(p2.text_ranges(_items(spark, [("txt", i, t, limit, overlap) for i, t in texts.items()]))).orderBy("item_id", "piece_no").collect()
+        for i, t in texts.items():
+            _check([r for r in got if r["item_id"] == i], t, limit, overlap)
+
+
+def test_bytes_of_values_and_files_give_the_same_ranges(spark, tmp_path):
+    text = _text(random.Random(8), 30_000)
+    path = tmp_path / "same.txt"
+    path.write_text(text, encoding="utf-8")
+    cols = ["range_no", "n_ranges", "at", "chunk_at", "span", "chunk"]
+    a = p2.text_ranges(_items(spark, [("file", 1, text, 60, 8)])).select(*cols).orderBy("range_no").collect()
+    b = p2.file_ranges(spark, [(str(path), 1, path.stat().st_size)], 60, 8).select(*cols).orderBy("range_no").collect()
+    assert a == b and len(a) > 5
+
+
 def test_prefers_natural_boundaries():
     text = "One sentence here. Another one follows.\n\nA new paragraph starts and goes on for a while."
     assert text[: p2.best_cut(text, 20, 50)].endswith("\n\n")
