@@ -13,6 +13,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from folioforge.llm import bloom
 from folioforge.session import cut_lineage, table
 
 #: What is printed and what is read instead.
@@ -34,8 +37,8 @@ CONFUSIONS = (
 FREQUENT, RATIO = 10, 8
 #: Longest running header, in characters; edge lines looked at on either side.
 HEADER_CHARS, EDGE = 90, 3
-#: Bits of the Bloom filter that preselects words (its size is fixed).
-BLOOM_BITS = 1 << 24
+#: Different words that a task counts before it passes them on.
+HELD = 400_000
 
 HYPHENS = "-‐­¬"
 _HYPHEN_END = re.compile(r"([^\W\d_]+)[-‐­¬]$")
@@ -47,6 +50,7 @@ _BLANK = " \t\r\f\v\u00a0\u3000"
 _ROMAN = re.compile(r"^(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _PAGE = re.compile(r"^(?:[-–—·•~(\[<]\s*)?(?:(?:p|pp|page|s|seite|pág|pag|página|쪽|페이지)\.?\s*)?([0-9lIOoSB]{1,4}|[ivxlc]{1,9}|[IVXLC]{1,9})(?:\s*(?:/|of|von|sur|de)\s*[0-9lIOoSB]{1,4})?(?:\s*(?:쪽|페이지|頁|ページ))?(?:\s*[-–—·•~)\]>])?\.?$", re.I)
 _NUMBER_TOKEN = re.compile(r"^\s*(?:[-–—|·\[(]?\s*[0-9lIO]{1,4}\s*[-–—|·\])]?\s+)|(?:\s+[-–—|·\[(]?\s*[0-9lIO]{1,4}\s*[-–—|·\])]?)\s*$")
+_MISREAD_SIGNS = str.maketrans("", "", "0156978@!")
 _SPECIAL = re.compile(r"[=/\\<>{}]|\d")
 
 _SKELETON = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "5": "s", "6": "b", "9": "g", "@": "a", "e": "c", "h": "b", "f": "t", "디": "다", "힌": "한", "틀": "를", "눈": "는", "온": "은", "올": "을", "익": "의", "메": "에", "ㅗ": "고"})
@@ -69,7 +73,7 @@ def page_number(line: str) -> bool:
 def skeleton(line: str) -> str:
     """A key of a title line that misread characters, case, marks and a page number beside it don't change."""
     s = _NUMBER_TOKEN.sub("", _MARKS.sub("", line))
-    if _SPECIAL.search(s.translate(str.maketrans("", "", "0156978@!"))) or not s:
+    if not s or _SPECIAL.search(s.translate(_MISREAD_SIGNS)):
         return ""
     s = re.sub(r"[\W_]+", "", s.lower().replace("7l", "기"))
     for wrong, right in (("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("ri", "n")):
@@ -77,6 +81,7 @@ def skeleton(line: str) -> str:
     return s.translate(_SKELETON).replace("ii", "u")
 
 
+@lru_cache(maxsize=10_000)
 def title_skeleton(stem: str | None) -> str:
     """The skeleton of the title in a file name: without upload prefix and serial."""
     return skeleton(re.sub(r"^(?:add_pdf_|\d+[_. -]+)|_[^_]*$", "", stem or ""))
@@ -89,9 +94,11 @@ def edge_lines(text: str) -> list[tuple[int, str, int, bool, str]]:
     that ends a sentence or cuts a word are content.
     """
     lines = text.split("\n")
-    filled = [i for i, x in enumerate(lines) if x.strip()]
+    order = range(len(lines))
+    top = [*islice((i for i in order if lines[i].strip()), EDGE)]
+    bottom = [*islice((i for i in reversed(order) if lines[i].strip()), EDGE)]
     out: dict[int, tuple[int, str, int, bool, str]] = {}
-    for side, order in (("T", filled[:EDGE]), ("B", filled[::-1][:EDGE])):
+    for side, order in (("T", top), ("B", bottom)):
         for rank, i in enumerate(order):
             line = lines[i].strip()
             if page_number(line):
@@ -146,9 +153,24 @@ def furniture(pages: DataFrame) -> DataFrame:
 
 
 def body_of(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Pages with ``skip``: the numbers of their furniture lines."""
+    """Pages with ``skip``: the numbers of their furniture lines. Texts move once, to the checkpoint folder, for the two passes over them."""
     skip = found.groupBy("page_id", "field").agg(F.collect_set("line_no").alias("skip"))
-    return pages.join(skip, ["page_id", "field"], "left")
+    return cut_lineage(pages.join(skip, ["page_id", "field"], "left"))
+
+
+_EDGE_MARKS = ".,;:\"'()“”‘’?…«»"
+
+
+def words_of(line: str) -> list[str]:
+    """The words of a line: letters and digits, with signs that may be misread ones inside. Most words need no pattern."""
+    out = []
+    for raw in line.split():
+        token = raw.rstrip(_EDGE_MARKS + "!|").lstrip(_EDGE_MARKS)
+        if token.isalnum():
+            out.append(token)
+        elif token:
+            out += _WORD.findall(token)
+    return out
 
 
 def _bare(line: str) -> str:
@@ -171,13 +193,13 @@ def page_words(text: str, skip: list[int] | None) -> tuple[list[tuple[int, str]]
             continue
         if k == 0 and (m := _FIRST.match(s)):
             first = (no, m.group(1))
-        found = _WORD.findall(s)
+        found = words_of(s)
         if eaten and found:
             found = found[1:]
         eaten = False
         if s[-1] in HYPHENS and (m := _HYPHEN_END.search(s)):
             head, sign = m.group(1), s[-1]
-            whole = (_WORD.findall(s[:-1]) or [head])[-1]
+            whole = (words_of(s[:-1]) or [head])[-1]
             if k + 1 < len(lines):
                 nxt = _bare(lines[k + 1][1]).lower()
                 t = _FIRST.match(nxt)
@@ -197,25 +219,60 @@ def anagram(word: str) -> int:
     return sum((ord(c) ** 5) for c in word) & 0x7FFFFFFFFFFFFFFF
 
 
-def word_counts(body: DataFrame) -> DataFrame:
-    """``word, hash, n, hyphened``: words of all bodies, and of words written with an inner hyphen. Pre-aggregated by batch."""
+_SCAN = "page_id long, file_id long, page_no int, field string, line_no long, head string, tail string, sign string, role string, word string, hash long, n long, hyphened long"
+
+
+def scan_words(body: DataFrame) -> DataFrame:
+    """One pass over all bodies with two kinds of rows: counts of words (``word, hash, n, hyphened``), added up within a task as far as they fit, and cut words.
+
+    ``hyphened`` counts words written with an inner hyphen. Cut words are ``page_id, file_id,
+    page_no, field, line_no, head, tail, sign, role``: ``cut`` with both parts, ``last`` at a
+    page's end, and the ``first`` word of a page, which may complete one.
+    """
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+    names = ["page_id", "file_id", "page_no", "field", "line_no", "head", "tail", "sign", "role", "word", "hash", "n", "hyphened"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n: Counter[str] = Counter()
-            pair: Counter[str] = Counter()
-            for text, skip in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, cuts, _, _ = page_words(text, skip)
-                n.update(w for _, w in words)
-                n.update(h + t for _, _, h, t, _ in cuts)
-                pair.update(x.lower() for w in text.split() if "-" in w[1:-1] for x in _HYPHENED.findall(w))
+        n: Counter[str] = Counter()
+        pair: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
             rows = list(n.items()) + [(k, 0) for k in pair if k not in n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in rows], pa.string()), pa.array([anagram(w) for w, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64()), pa.array([pair.get(w, 0) for w, _ in rows], pa.int64())],
-                names=["word", "hash", "n", "hyphened"],
-            )
+            cols = [pa.array([w for w, _ in rows], pa.string()), pa.array([anagram(w) for w, _ in rows], pa.int64()), pa.array([c for _, c in rows], pa.int64()), pa.array([pair.get(w, 0) for w, _ in rows], pa.int64())]
+            blank = [pa.nulls(len(rows), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.string(), *kinds)]
+            n.clear(), pair.clear()
+            return pa.RecordBatch.from_arrays([*blank, *cols], names=names)
 
-    rows = body.select("text", "skip").mapInArrow(run, "word string, hash long, n long, hyphened long")
+        for b in batches:
+            rows, cols = [], [[] for _ in kinds]
+            for i, (text, skip) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
+                words, cuts, first, last = page_words(text, skip)
+                n.update([w for _, w in words])
+                n.update([h + t for _, _, h, t, _ in cuts])
+                if "-" in text:
+                    pair.update(x.lower() for w in text.split() if "-" in w[1:-1] for x in _HYPHENED.findall(w))
+                found = [(a, h, tail, sign, "cut") for a, _, h, tail, sign in cuts]
+                if first:
+                    found.append((first[0], "", first[1], "", "first"))
+                if last:
+                    found.append((last[0], last[1], "", last[2], "last"))
+                for r in found:
+                    rows.append(i)
+                    for c, v in zip(cols, r):
+                        c.append(v)
+            at = pa.array(rows, pa.int64())
+            blank = [pa.nulls(len(rows), k) for k in (pa.string(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), *(pa.array(v, k) for v, k in zip(cols, kinds)), *blank], names=names)
+            if len(n) > HELD:
+                yield counted()
+        yield counted()
+
+    return cut_lineage(body.select("page_id", "file_id", "page_no", "field", "text", "skip").mapInArrow(run, _SCAN))
+
+
+def word_counts(scanned: DataFrame) -> DataFrame:
+    """``word, hash, n, hyphened`` of the corpus."""
+    rows = scanned.filter("word is not null").select("word", "hash", "n", "hyphened")
     return cut_lineage(rows.groupBy("word", "hash").agg(F.sum("n").alias("n"), F.sum("hyphened").alias("hyphened")))
 
 
@@ -242,25 +299,20 @@ def corrections(vocab: DataFrame) -> DataFrame:
     return cut_lineage(out.select("word", "fix", (F.col("place")[0] - 1).alias("at"), F.length("wrong").alias("wrong_len")))
 
 
-def _positions(words: list[str]) -> np.ndarray:
+def _hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
-    return np.stack([h % np.uint64(BLOOM_BITS), (h >> np.uint64(32)) % np.uint64(BLOOM_BITS)], axis=1).astype(np.int64)
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)
 
 
-def bloom(words: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over ``word``: bits are joined in Spark, so at most ``BLOOM_BITS / 64`` rows reach the driver."""
+def word_filter(words: DataFrame) -> np.ndarray:
+    """A Bloom filter over ``word``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = np.unique(_positions(b.column(0).to_pylist())) if b.num_rows else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 5, pa.int64()), pa.array(np.int64(1) << (bits & 31), pa.int64())], names=["slot", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(_hashes(b.column(0).to_pylist()).view(np.int64), pa.int64())], names=["key"])
 
-    rows = words.select("word").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 32, dtype=np.uint32)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
+    return bloom.build(words.select("word").mapInArrow(run, "key long"), "key")
 
 
 #: Letters with a digit or sign inside are misread even where no variant is known, unless they look like a formula or code.
@@ -271,23 +323,27 @@ def suspects(body: DataFrame, filter_bits: np.ndarray) -> DataFrame:
     """(page_id, field, line_no, next_line, word, split, alien): words that may have a correction, and cut words with where they are cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known: dict[str, int] = {}
         for b in batches:
             rows, cols = [], {c: [] for c in ("line_no", "next_line", "word", "split", "alien")}
+            out = list(cols.values())
             pages = [page_words(t, s) for t, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             fresh = list({w for words, cuts, _, _ in pages for w in [*(w for _, w in words), *(h + t for _, _, h, t, _ in cuts)] if w not in known})
             if fresh:
-                at = _positions(fresh)
-                hit = ((filter_bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(axis=1)
-                known.update(zip(fresh, (bool(x) for x in hit)))
+                hit = bloom.holds(filter_bits, _hashes(fresh)).tolist()
+                # Bit 1: may have a correction; bit 2: letters with a digit or sign inside.
+                known.update((w, x | 2 * (_ALIEN.search(w) is not None)) for w, x in zip(fresh, hit))
             for i, (words, cuts, _, _) in enumerate(pages):
-                every = [(no, no, w, len(w)) for no, w in words] + [(a, z, h + t, len(h)) for a, z, h, t, _ in cuts]
-                for a, z, w, k in every:
-                    alien = _ALIEN.search(w) is not None
-                    if known[w] or alien:
+                for no, w in words:
+                    if k := known[w]:
+                        rows.append(i)
+                        for c, v in zip(out, (no, no, w, len(w), k > 1)):
+                            c.append(v)
+                for a, z, h, t, _ in cuts:
+                    if k := known[h + t]:
                         rows.append(i)
-                        for c, v in zip(cols, (a, z, w, k, alien)):
-                            cols[c].append(v)
+                        for c, v in zip(out, (a, z, h + t, len(h), k > 1)):
+                            c.append(v)
             if len(known) > 400_000:
                 known.clear()
             at = pa.array(rows, pa.int64())
@@ -299,7 +355,7 @@ def suspects(body: DataFrame, filter_bits: np.ndarray) -> DataFrame:
 
 def misread_words(body: DataFrame, fixes: DataFrame) -> DataFrame:
     """(page_id, field, line_no, word, fix): misread words where they stand; ``fix`` is null where no variant is known."""
-    seen = suspects(body, bloom(fixes))
+    seen = suspects(body, word_filter(fixes))
     hit = seen.join(fixes, "word", "left").filter(F.col("fix").isNotNull() | F.col("alien"))
     alien_at = F.regexp_instr("word", F.lit("[0156@!|9]")) - 1
     at, size = F.coalesce("at", alien_at), F.coalesce("wrong_len", F.lit(1))
@@ -307,43 +363,27 @@ def misread_words(body: DataFrame, fixes: DataFrame) -> DataFrame:
     return hit.select("page_id", "field", F.explode(line).alias("line_no"), "word", "fix", F.col("line_no").alias("word_line"), "split")
 
 
-def cut_words(body: DataFrame, vocab: DataFrame) -> DataFrame:
+def cut_words(scanned: DataFrame, vocab: DataFrame) -> DataFrame:
     """(page_id, field, line_no, head, tail, is_cut): line ends with a hyphen sign, and whether the sign was added.
 
     The joined word's count against the hyphenated one's decides; where the corpus knows
     neither, two known words are a compound. A word cut at a page's end is completed from
-    the next page by an equi-join on file and page number.
+    the next page by an equi-join on file and page number. The four counts of a cut come
+    from one join on the word asked for.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, cols = [], {c: [] for c in ("line_no", "head", "tail", "sign", "role")}
-            for i, (t, s) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
-                _, cuts, first, last = page_words(t, s)
-                found = [(a, h, tail, sign, "cut") for a, _, h, tail, sign in cuts]
-                if first:
-                    found.append((first[0], "", first[1], "", "first"))
-                if last:
-                    found.append((last[0], last[1], "", last[2], "last"))
-                for r in found:
-                    rows.append(i)
-                    for c, v in zip(cols, r):
-                        cols[c].append(v)
-            at = pa.array(rows, pa.int64())
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(4)), *(pa.array(v, k) for v, k in zip(cols.values(), kinds))], names=["page_id", "file_id", "page_no", "field", *cols])
-
-    schema = "page_id long, file_id long, page_no int, field string, line_no long, head string, tail string, sign string, role string"
-    rows = cut_lineage(body.select("page_id", "file_id", "page_no", "field", "text", "skip").mapInArrow(run, schema).distinct())
+    rows = scanned.filter("role is not null").drop("word", "hash", "n", "hyphened").distinct()
     nxt = rows.filter("role = 'first'").groupBy("file_id", (F.col("page_no") - 1).alias("page_no"), "field").agg(F.min("tail").alias("next_tail"))
     last = rows.filter("role = 'last'").join(nxt, ["file_id", "page_no", "field"], "left")
     last = last.withColumn("tail", F.coalesce("next_tail", F.lit(""))).drop("next_tail")
     every = rows.filter("role = 'cut'").unionByName(last.select(*rows.columns))
-    count = lambda key, name, col: vocab.select(F.col("word").alias(key), F.col(col).alias(name))
-    every = every.withColumn("joined", F.concat("head", "tail")).withColumn("dashed", F.concat_ws("-", "head", "tail"))
-    every = every.join(count("joined", "n_joined", "n"), "joined", "left").join(count("dashed", "n_dashed", "hyphened"), "dashed", "left")
-    every = every.join(count("head", "n_head", "n"), "head", "left").join(count("tail", "n_tail", "n"), "tail", "left")
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_joined", "n_dashed", "n_head", "n_tail")}
+    key = ["page_id", "field", "line_no", "head", "tail", "sign"]
+    asked = F.array(*[F.struct(F.lit(name).alias("what"), word.alias("word")) for name, word in (("n_joined", F.concat("head", "tail")), ("n_dashed", F.concat_ws("-", "head", "tail")), ("n_head", F.col("head")), ("n_tail", F.col("tail")))])
+    asked = every.select(*key, F.explode(asked).alias("a")).select(*key, "a.*")
+    known = asked.join(vocab.select("word", "n", "hyphened").hint("merge"), "word", "left")
+    told = F.coalesce(F.when(F.col("what") == "n_dashed", F.col("hyphened")).otherwise(F.col("n")), F.lit(0))
+    names = ("n_joined", "n_dashed", "n_head", "n_tail")
+    every = known.groupBy(*key).agg(*[F.max(F.when(F.col("what") == c, told)).alias(c) for c in names])
+    n = {c: F.col(c) for c in names}
     both_words = (n["n_head"] >= FREQUENT) & (n["n_tail"] >= FREQUENT)
     # The cut itself counts once in n_joined, so a single joined count is no evidence.
     is_cut = (
@@ -359,8 +399,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     edges = furniture(pages)
     body = body_of(pages, edges)
-    vocab = word_counts(body)
-    cuts = cut_words(body, vocab).filter("is_cut").select("page_id", "field", "line_no", F.lit("hyphen").alias("kind"))
+    scanned = scan_words(body)
+    vocab = word_counts(scanned)
+    cuts = cut_words(scanned, vocab).filter("is_cut").select("page_id", "field", "line_no", F.lit("hyphen").alias("kind"))
     misread = misread_words(body, corrections(vocab)).select("page_id", "field", "line_no", F.lit("misread").alias("kind"))
     return edges.unionByName(cuts).unionByName(misread).distinct()
 
@@ -401,9 +442,10 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     edges = furniture(pages)
     body = body_of(pages, edges)
-    vocab = word_counts(body)
+    scanned = scan_words(body)
+    vocab = word_counts(scanned)
     key = ["page_id", "field"]
-    cuts = cut_lineage(cut_words(body, vocab).filter("is_cut"))
+    cuts = cut_lineage(cut_words(scanned, vocab).filter("is_cut"))
     fixes = misread_words(body, corrections(vocab)).groupBy(*key).agg(F.collect_set(F.struct("word", "fix")).alias("fixes"))
     cut = cuts.groupBy(*key).agg(F.collect_set("line_no").alias("cut"), F.max_by("tail", "line_no").alias("tail"))
     every = body.join(cut, key, "left").join(fixes, key, "left").dropDuplicates(key)
@@ -426,7 +468,7 @@ def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked correction of each misread word of the corpus."""
     pages = _pages(spark, sf_dir)
-    return corrections(word_counts(body_of(pages, furniture(pages)))).select("word", "fix")
+    return corrections(word_counts(scan_words(body_of(pages, furniture(pages))))).select("word", "fix")
 
 
 QUERIES = {"p1_found": p1_found, "p1_pages": p1_pages, "p1_corrections": p1_corrections}

@@ -9,6 +9,7 @@ regular expressions in the filter, and none of them can be left early.)
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,10 +48,10 @@ REFUSALS = (
     r"(?:申し訳|すみません).{0,60}(?:できません|いただけます|ください)|(?:原文|本文|文章).{0,20}(?:ありません|送って|貼り付け)",
 )
 
-#: A defective answer counts as a refusal if it is no longer than this.
-REFUSAL_CHARS = 220
-#: Share of the answer's words that must be words of ``src`` for a copy.
-COPY_SHARE = 0.6
+#: Share of an answer's sentences that decline from which it is a refusal wherever they stand; one that begins so always is.
+REFUSAL_SHARE = 0.3
+#: Share of the answer's words that must be words of ``src`` for a copy; share of the words of ``src``, and how many at least, that an answer must begin with.
+COPY_SHARE, PREFIX_SHARE, PREFIX_WORDS = 0.6, 0.6, 4
 #: Share of Hangul among an answer's letters from which it is Korean.
 KOREAN_SHARE = 0.25
 #: An answer with fewer than this share of the sentences of ``src`` lacks most of them.
@@ -75,10 +76,18 @@ _WHOLE = re.compile(r"""(?:[한된있없같이았었했였린긴킨쓴른]다|
 
 
 def _declines(body: str, korean: bool) -> bool:
-    if len(body) > REFUSAL_CHARS or (korean and not any(x in body for x in REFUSAL_STEMS)):
+    """Does the answer begin with a refusal, or decline in a good part of its sentences? Quotations don't count; its length doesn't matter."""
+    if korean and not any(x in body for x in REFUSAL_STEMS):
         return False
     text = _QUOTED.sub("", body).lower().strip()
-    return any(p.search(text) for p in _REFUSAL)
+    at = sorted(m.start() for p in _REFUSAL for m in p.finditer(text))
+    if not at:
+        return False
+    ends = [m.end() for m in _SENTENCE.finditer(text)]
+    if not ends or at[0] < ends[0]:
+        return True
+    declining = len({bisect_right(ends, i) for i in at})
+    return declining >= REFUSAL_SHARE * (len(ends) + (ends[-1] < len(text)))
 
 
 def _copies(body: str, src: str) -> bool:
@@ -86,8 +95,17 @@ def _copies(body: str, src: str) -> bool:
     return bool(words) and len(words & set(_BARE.split(src.lower()))) >= COPY_SHARE * len(words)
 
 
+def _begins_with(body: str, src: str) -> bool:
+    """Does the answer begin with the words of the source, whatever stands behind them?"""
+    if body[:1].lower() != src.lstrip(BLANKS)[:1].lower() and body[:1].isalnum():
+        return False
+    own, asked = ([w for w in _BARE.split(t.lower()) if w] for t in (body, src))
+    same = next((i for i, (x, y) in enumerate(zip(own, asked)) if x != y), min(len(own), len(asked)))
+    return same >= max(PREFIX_WORDS, PREFIX_SHARE * len(asked))
+
+
 def defects_of(src: str | None, out: str | None) -> list[str]:
-    """Every triggered defect of a pair, in rule order; none for a null ``src``."""
+    """Every triggered defect of a pair, in rule order; none for a null ``src``. An empty answer has nothing that another rule could judge."""
     if src is None:
         return []
     body = (out or "").strip(BLANKS)
@@ -102,11 +120,10 @@ def defects_of(src: str | None, out: str | None) -> list[str]:
     found = []
     if _declines(body, korean):
         found.append("refusal")
-    if not korean:
-        if _copies(body, src):
-            found.append("copy")
-        elif len(_NOT_LETTER.sub("", body)) >= 2:
-            found.append("wrong_language")
+    if _begins_with(body, src) or not korean and _copies(body, src):
+        found.append("copy")
+    if not korean and len(_NOT_LETTER.sub("", body)) >= 2:
+        found.append("wrong_language")
     if _is_cut(src, body):
         found.append("truncated")
     return found
@@ -168,12 +185,12 @@ def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_engine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of each engine and how many have each defect (exact copies of a row count once)."""
-    rows = _answers(spark, sf_dir)
-    engine = F.coalesce("engine", F.lit("")).alias("engine")
-    bad = find_defects(rows, ["pair_id", "engine"]).select("pair_id", engine, F.col("defects")[0].alias("defect")).distinct()
-    every = rows.select("pair_id", engine).distinct().groupBy("engine").agg(F.count("*").alias("n_pairs"))
-    return bad.groupBy("engine", "defect").agg(F.count("*").alias("n_defective")).join(every, "engine")
+    """Of every engine: its pairs, the defective ones, and how many have each first defect (exact copies of a row count once; a null engine is the empty one)."""
+    rows = _answers(spark, sf_dir).withColumn("engine", F.coalesce("engine", F.lit("")))
+    bad = find_defects(rows, ["pair_id", "engine"]).select("pair_id", "engine", F.col("defects")[0].alias("defect"))
+    # A pair and its defect meet in one aggregation, so an engine without defects keeps its row.
+    one = rows.select("pair_id", "engine", F.lit(None).cast("string").alias("defect")).unionByName(bad).groupBy("pair_id", "engine").agg(F.max("defect").alias("defect"))
+    return one.groupBy("engine").agg(F.count("*").alias("n_pairs"), F.count("defect").alias("n_defective"), *[F.count_if(F.col("defect") == d).alias(f"n_{d}") for d in ORDER])
 
 
 QUERIES = {"p3_found": p3_found, "p3_defects": p3_defects, "p3_engine_report": p3_engine_report}

@@ -52,7 +52,7 @@ def test_encode_rows(spark):
     [
         ("The mill is old.", "방앗간은 오래되었다.", []), (None, "", []), ("The mill is old.", None, ["empty"]), ("The mill is old.", "  ​", ["empty"]), ("The mill is old.", "N/A", ["empty"]),
         ("The mill is old.", "방앗간은 오", ["truncated"]), ("The mill is old. It stands. It fell. It rose.", "방앗간은 오래되었다.", ["truncated"]), ("The mills", "방앗간들", []),
-        ("The mill is old.", "The mill is old.", ["copy"]), ("The mill is old.", "번역: THE MILL IS OLD .", ["copy"]), ("The mill is old.", "Die Mühle steht am alten Fluss.", ["wrong_language"]),
+        ("The mill is old.", "The mill is old.", ["copy", "wrong_language"]), ("The mill is old.", "번역: THE MILL IS OLD .", ["copy", "wrong_language"]), ("The mill is old.", "Die Mühle steht am alten Fluss.", ["wrong_language"]),
         ("The mill is old.", "죄송하지만 요청하신 단락은 번역해 드릴 수 없습니다.", ["refusal"]), ("The mill is old.", "I'm sorry, but I cannot help with translating this.", ["refusal", "wrong_language"]),
         ("“Sorry, I cannot accept it,” he wrote.", '"죄송하지만 받아들일 수 없습니다"라고 적었다.', []), ("The mill is old.", "방앗간은 오래되었다 (the mill, old).", []),
     ],
@@ -61,6 +61,29 @@ def test_pairs(src, out, want):
     assert p3.defects_of(src, out) == want
 
 
+LONG_KO = "죄송하지만 요청하신 단락은 번역해 드릴 수 없습니다. " + "다른 단락이 있으면 언제든지 다시 보내 주시기 바라며 안내해 드리겠습니다. " * 12
+LONG_EN = "I'm sorry, but I cannot help with translating this paragraph. " + "There are several reasons for that, and they are explained in the terms of use. " * 8
+PROSE = "방앗간은 오래되었다. 강은 마을을 지나 흐른다. " * 10
+
+
+@pytest.mark.parametrize(
+    "src, out, want",
+    [
+        ("The mill is old.", LONG_KO.strip(), "refusal"), ("The mill is old.", LONG_EN.strip(), "refusal"), ("The mill is old. " * 20, PROSE + "그는 번역할 수 없습니다라고 말하지 않았다.", None),
+        ("The mill is very old and grey.", "The mill is very old and grey.\n방앗간은 아주 오래되었고 회색이다. 방앗간은 아주 오래되었고 회색이다.", "copy"), ("Mill Town is old. It is grey.", "Mill Town은 오래되었다. 회색이다.", None),
+    ],
+)
+def test_long_refusals_and_copied_prefixes(src, out, want):
+    assert (p3.defects_of(src, out) or [None])[0] == want
+
+
+def test_engine_report(spark, tmp_path):
+    rows = [(1, "a", "The mill.", "", "translated"), (1, "a", "The mill.", "", "translated"), (2, "a", "The mill is old.", "방앗간은 오래되었다.", "failed"), (3, "b", "The mill is old.", "방앗간은 오래되었다.", None), (4, None, "The mill is old.", None, "translated"), (5, "c", None, "", "translated"), (6, "c", "x", "", "dropped")]
+    spark.createDataFrame(rows, "pair_id long, engine string, src string, out string, status string").write.parquet(f"{tmp_path}/translate_pairs.parquet")
+    got = {r.engine: (r.n_pairs, r.n_defective, r.n_empty, r.n_copy) for r in p3.p3_engine_report(spark, str(tmp_path)).collect()}
+    assert got == {"a": (2, 1, 1, 0), "b": (1, 0, 0, 0), "": (1, 1, 1, 0)}
+
+
 def test_pairs_table(spark):
     df = spark.createDataFrame([(1, "A b c.", "", "x"), (1, "A b c.", "", "x"), (2, None, None, "y")], "pair_id long, src string, out string, defects string")
     assert [r.pair_id for r in p3.find_defects(df, ["pair_id"]).collect()] == [1, 1]
@@ -159,16 +182,24 @@ def test_furniture_hyphens_and_misread_words(spark):
     pages = _pages(spark, rows)
     found = p1.furniture(pages)
     body_rows = p1.body_of(pages, found)
-    vocab = p1.word_counts(body_rows)
+    scanned = p1.scan_words(body_rows)
+    vocab = p1.word_counts(scanned)
     kinds = {(r.page_id, r.line_no, r.kind) for r in found.collect()}
     assert {(i, 5, "page_number") for i in range(1, 13)} <= kinds and (13, 8, "page_number") in kinds and (14, 1, "page_number") in kinds
     assert {(i, 1, "header") for i in range(2, 14)} <= kinds and (1, 1, "header") not in kinds and not any(k == "header" for p, _, k in kinds if p == 14)
-    cuts = {(r.page_id, r.line_no): r.is_cut for r in p1.cut_words(body_rows, vocab).collect()}
+    cuts = {(r.page_id, r.line_no): r.is_cut for r in p1.cut_words(scanned, vocab).collect()}
     assert cuts == {(13, 3): True, (13, 4): False, (13, 7): True}
     bad = {(r.page_id, r.line_no, r.word, r.fix) for r in p1.misread_words(body_rows, p1.corrections(vocab)).collect()}
     assert bad == {(13, 6, "convers@tions", "conversations")}
 
 
+def test_words_of_a_line_agree_with_the_pattern():
+    rng = random.Random(12)
+    for _ in range(20_000):
+        line = "".join(rng.choice("abé가0@!|_-'.,;:()“”\" ") for _ in range(rng.randint(0, 14)))
+        assert p1.words_of(line) == p1._WORD.findall(line), line
+
+
 def test_repair():
     text = "Header\nthe meas-\nurements of the convers@tions\nwent on\n\nNew line\n12"
     assert p1.repair(text, [1, 7], [2], [("convers@tions", "conversations")], None, False) == "the measurements of the conversations went on\n\nNew line"
@@ -177,7 +208,7 @@ def test_repair():
 def test_no_pages(spark):
     pages = _pages(spark, [])
     found = p1.furniture(pages)
-    assert found.count() == 0 and p1.corrections(p1.word_counts(p1.body_of(pages, found))).count() == 0
+    assert found.count() == 0 and p1.corrections(p1.word_counts(p1.scan_words(p1.body_of(pages, found)))).count() == 0
 
 
 def test_anagram_difference_is_the_confusion():
