@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm.sampling import hash_sample
 from folioforge.session import table
 
 LANGS = ("en", "ko", "de", "fr", "es", "ja")
-#: Bound of the training sample: files, and paragraphs of a file.
-TRAIN_FILES, TRAIN_PARAGRAPHS = 2_000, 6
+#: Bound of the training sample: files, paragraphs of a file, and characters of a paragraph that may be drawn.
+TRAIN_FILES, TRAIN_PARAGRAPHS, TRAIN_CHARS = 2_000, 6, 4_000
 #: Slots (a byte each, a power of two) and hash functions of the filters.
 SLOTS, HASHES = 1 << 20, 3
 #: An n-gram belongs to a language if its share there is at least this part of its largest share anywhere.
@@ -156,8 +157,8 @@ class LanguageFilters:
         return out.close()
 
 
-#: What is bracketed or quoted within a line, which may be foreign.
-_INSET = re.compile(r"""\([^()\n]{1,600}\)|[“„][^“”"\n]{1,600}[”“"]|"[^"\n]{1,600}"|«[^«»\n]{1,600}»|「[^「」\n]{1,600}」|『[^『』\n]{1,600}』""")
+#: What is bracketed or quoted within a line, which may be foreign, of any length.
+_INSET = re.compile(r"""\([^()\n]+\)|[“„][^“”„"\n]+[”“"]|"[^"\n]+"|«[^«»\n]+»|「[^「」\n]+」|『[^『』\n]+』""")
 
 
 def _shares(text: str, ends: np.ndarray, filters: LanguageFilters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,19 +223,16 @@ def weak_language(text: str, common: dict[str, frozenset[str]]) -> str | None:
 
 def train_filters(files: DataFrame, common: dict[str, frozenset[str]], id_col: str = "file_id", text_col: str = "txt") -> LanguageFilters:
     """Filters from at most about ``TRAIN_FILES`` x ``TRAIN_PARAGRAPHS`` weakly labelled paragraphs and the frequent words."""
-    share = TRAIN_FILES / max(1, files.count())
-    sample = files.select(id_col, text_col)
-    if share < 1:
-        sample = sample.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = hash_sample(files.select(id_col, text_col), id_col, TRAIN_FILES / max(1, files.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                spans = paragraphs(t) if t else []
+                spans = [(i, e) for i, e in paragraphs(t) if e - i <= TRAIN_CHARS] if t else []
                 for i, e in spans[:: max(1, len(spans) // TRAIN_PARAGRAPHS)][:TRAIN_PARAGRAPHS]:
                     if (k := weak_language(t[i:e], common)) is not None:
-                        out.append({"lang": k, "text": t[i:e][:4000]})
+                        out.append({"lang": k, "text": t[i:e]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("lang", pa.string()), ("text", pa.string())]))
 
     rows = [(r.lang, r.text) for r in sample.mapInArrow(run, "lang string, text string").collect()]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.boosting import BoostedTrees
 from folioforge.llm.p9_holdout import HOLDOUT
+from folioforge.llm.sampling import hash_sample
 from folioforge.session import table
 
 KINDS = ("prose", "list", "table", "junk")
@@ -205,9 +206,7 @@ def train(df: DataFrame, common: tuple[frozenset[str], frozenset[str]], id_col:
     """Trees from at most about ``TRAIN_ROWS`` documents, chosen by a hash of their id, and the hand-checked holdout."""
     plain, ja = common
     texts = df.filter(F.length(F.trim(text_col)) > 0)
-    share = TRAIN_ROWS / max(1, df.count())
-    if share < 1:
-        texts = texts.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    texts = hash_sample(texts, id_col, TRAIN_ROWS / max(1, df.count()))
     sample = document_statistics(texts, common, id_col, text_col).drop(id_col).toPandas().dropna().to_numpy(dtype=float)
     label = np.array([weak_label(list(v)) for v in sample], dtype=int) if len(sample) else np.zeros(0, dtype=int)
     held_x = np.array([statistics(t, plain, ja) for _, t in HOLDOUT])
