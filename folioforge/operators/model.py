@@ -35,7 +35,7 @@ class OfflineModel:
         text = prompt.rsplit("\n\n", 1)[-1].strip()
         if "JSON" in system:
             sentences = [s for s in re.split(r"(?<=[.!?。])\s+", text) if s]
-            return json.dumps({"summary": " ".join(sentences[:2])[:300], "body": "## 핵심 요약\n\n" + " ".join(sentences[:5])}, ensure_ascii=False)
+            return json.dumps({"summary": " ".join(sentences[:2])[:300], "intro": " ".join(sentences[:3]), "body": "## 핵심 요약\n\n" + " ".join(sentences[:5]), "tags": ["mill"]}, ensure_ascii=False)
         return "번역: " + " ".join("가나다라마바사아자차카타파하"[sum(map(ord, w)) % 14] * max(1, len(w) // 2) for w in text.split())
 
 
@@ -131,18 +131,32 @@ def retry_prompt(paragraph: Column) -> Column:
     return F.concat(F.lit("Translate the following academic paragraph into Korean. Preserve numbering. Output ONLY the Korean text.\n\n"), paragraph)
 
 
-def translate_rows(df: DataFrame, keep: list[str], src: str, model: TextModel) -> DataFrame:
-    """``keep, tgt, status``: up to three prompts a paragraph until an answer is valid; null and ``failed`` else. Filter with built-ins before."""
+#: Fixed value: proper nouns of a glossary that a prompt carries, the latest ones.
+GLOSSARY_MOST = 80
 
-    def one(p: str) -> str | None:
+
+def translate_system(glossary: list[tuple[str, str]] | None = None) -> str:
+    """The system prompt of a translation; with proper nouns that were introduced before, only their Korean form is wanted."""
+    pairs = "; ".join(f"{en} = {ko}" for en, ko in (glossary or [])[-GLOSSARY_MOST:])
+    return "translate" + (f" Proper nouns already introduced, Korean form only: {pairs}" if pairs else "")
+
+
+def translate_rows(df: DataFrame, keep: list[str], src: str, model: TextModel, glossary: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``keep, tgt, status``: up to three prompts a paragraph until an answer is valid; null and ``failed`` else, ``limited`` where the provider asks to wait. Filter with built-ins before."""
+    system = translate_system(glossary)
+
+    def one(p: str) -> tuple[str | None, str]:
         prompts = ["", "Translate into Korean, output ONLY the Korean text.\n\n"] + (["This is a section heading. Keep the numbering.\n\n"] if HEADING.match(p) else [])
-        return next((a for q in prompts if valid_answer(p, a := model.complete("translate", q + p, 4096))), None)
+        try:
+            answer = next((a for q in prompts if valid_answer(p, a := model.complete(system, q + p, 4096))), None)
+        except RateLimited:
+            return None, "limited"
+        return answer, "failed" if answer is None else "translated"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tgt = [one(p) if p and p.strip() else None for p in b.column(len(keep)).to_pylist()]
-            status = ["failed" if t is None else "translated" for t in tgt]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(tgt, pa.string()), pa.array(status, pa.string())], names=[*keep, "tgt", "status"])
+            got = [one(p) if p and p.strip() else (None, "failed") for p in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], names=[*keep, "tgt", "status"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.select(*keep, src).mapInArrow(run, f"{kinds}, tgt string, status string")
@@ -157,23 +171,39 @@ def translate_chapters(paras: DataFrame, state: DataFrame, model: TextModel) ->
     drop, skip = drop_paragraph(F.col("src")), skip_paragraph(F.col("src"))
     ruled = todo.filter(drop | skip).select("chapter_id", "idx", "src", F.when(drop, F.lit("")).otherwise(F.col("src")).alias("tgt"), F.when(drop, "dropped").otherwise("preserved").alias("status"))
     asked = translate_rows(todo.filter(~drop & ~skip), ["chapter_id", "idx", "src"], "src", model)
+    asked = asked.withColumn("status", F.when(F.col("status") == "limited", "failed").otherwise(F.col("status")))  # a failed one is asked again by the next run
     return upsert_state(state, ruled.unionByName(asked))
 
 
-def summarise(df: DataFrame, key: str, text: str, model: TextModel) -> DataFrame:
-    """``key, summary, body`` from a model's JSON; null where it has no valid answer."""
+def ask_json(df: DataFrame, key: str, prompt: str, model: TextModel, fields: tuple[str, ...], needed: tuple[str, ...] = (), max_tokens: int = 16_000) -> DataFrame:
+    """``key, status`` and the string ``fields`` of a model's JSON answer to each prompt; lists come as JSON.
+
+    ``done``, ``failed`` (no JSON, or a needed field is missing or empty; a blank prompt isn't
+    asked) or ``limited`` (the provider asks to wait; see ``with_waits``). Fields are null unless done.
+    """
+
+    def one(p: str | None) -> tuple[str, dict]:
+        if not p or not p.strip():
+            return "failed", {}
+        try:
+            got = complete_json(model, "Answer in JSON", p, max_tokens)
+        except RateLimited:
+            return "limited", {}
+        return ("done", got) if got is not None and all(got.get(c) for c in needed) else ("failed", {})
+
+    def text(v: object) -> str | None:
+        return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [complete_json(model, "Answer in JSON", t, 16_000, lambda _: None) if t and t.strip() else None for t in b.column(1).to_pylist()]
-            cols = [pa.array([str(g[c]) if g and g.get(c) is not None else None for g in got], pa.string()) for c in ("summary", "body")]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[key, "summary", "body"])
+            got = [one(p) for p in b.column(1).to_pylist()]
+            cols = [pa.array([text(g.get(c)) for _, g in got], pa.string()) for c in fields]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.string()), *cols], names=[key, "status", *fields])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, summary string, body string")
+    kinds = ", ".join(f"{c} string" for c in fields)
+    return df.select(key, prompt).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, status string, {kinds}")
 
 
-def overview_input(sections: DataFrame, book: str, no: str, title: str, summary: str, head: Column, tail: Column) -> DataFrame:
-    """``book, prompt``: a book's chapter summaries in order, and the ends of its text."""
-    line = F.concat(F.col(no).cast("string"), F.lit(". "), F.coalesce(title, F.lit("")), F.lit(": "), F.coalesce(summary, F.lit("")))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(no).alias("n"), line.alias("t")))), lambda x: x["t"]), "\n")
-    return sections.groupBy(book).agg(rows.alias("s"), F.max(F.left(head, F.lit(3500))).alias("h"), F.max(F.right(tail, F.lit(1500))).alias("e")).select(book, F.concat_ws("\n\n", "s", "h", "e").alias("prompt"))
+def summarise(df: DataFrame, key: str, text: str, model: TextModel) -> DataFrame:
+    """``key, status, summary, body`` from a model's JSON, which must have both."""
+    return ask_json(df, key, text, model, ("summary", "body"), ("summary", "body"))

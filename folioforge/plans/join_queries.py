@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from folioforge.functions import text as T
+from folioforge.functions.biblio import upload_token
 from folioforge.operators import matching as M
 from folioforge.operators import stages as Q
-from folioforge.operators.model import OfflineModel, translate_chapters, validity
+from folioforge.operators.model import validity
 from folioforge.plans import sqltext as S
 from folioforge.plans.text_queries import _filename, _key
 from folioforge.session import table
@@ -93,7 +94,7 @@ def refresh_list(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
     """Quotations cut from chapters, every other one changed, held against their chapter."""
-    c = table(spark, d, "chapters").select("chapter_id", "body").distinct().filter("length(body) > 120")
+    c = table(spark, d, "chapters").select("chapter_id", "body").distinct().filter("body is not null")
     quote = F.concat(F.lit("“"), F.substring("body", 20, 60), F.when(F.col("chapter_id") % 2 == 0, "").otherwise("☂"), F.lit("”"))
     return M.verify_citations(c.select("chapter_id", quote.alias("quote")), c, "chapter_id", "quote", "body").select("chapter_id", "verified")
 
@@ -123,10 +124,17 @@ def stage_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def medians(spark: SparkSession, d: str) -> DataFrame:
-    """The two medians of chapter lengths by mode: the mean of the middles, and the upper one."""
-    c = _chapters(spark, d)
-    upper = F.element_at(F.array_sort(F.collect_list("n_chars")), (F.floor(F.count("*") / 2) + 1).cast("int"))
-    return c.groupBy("mode").agg(F.percentile("n_chars", F.lit(0.5)).alias("middle"), upper.cast("long").alias("upper"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    """The two medians of chapter lengths by mode, the mean of the middles and the upper one, and the mean.
+
+    Lengths are counted first: a mode's different lengths are few, and the ranks run over
+    them as a window's sums, so no task holds all of a mode's chapters.
+    """
+    n = _chapters(spark, d).groupBy("mode", "n_chars").agg(F.count("*").alias("n"))
+    w = W.partitionBy("mode")
+    n = n.withColumn("upto", F.sum("n").over(w.orderBy("n_chars"))).withColumn("every", F.sum("n").over(w)).withColumn("sum", F.sum(F.col("n") * F.col("n_chars")).over(w))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("n_chars")))
+    low, up = F.floor((F.col("every") - 1) / 2), F.floor(F.col("every") / 2)
+    return n.groupBy("mode").agg(((at(low) + at(up)) / 2).cast("double").alias("middle"), at(up).cast("long").alias("upper"), F.round(F.max(F.col("sum") / F.col("every")), 6).alias("mean"))
 
 
 def chapter_nav(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +179,7 @@ def first_occurrences(spark: SparkSession, d: str) -> DataFrame:
 def upload_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Delivered files without those whose name, length and content are the same."""
     f = table(spark, d, "txt_files").select("file_id", "stem", F.coalesce("txt", F.lit("")).alias("t"))
-    tok = F.concat_ws(":", F.coalesce("stem", F.lit("")), F.length("t").cast("string"), F.substring(F.sha1("t"), 1, 12))
-    return f.groupBy(tok.alias("token")).agg(F.min("file_id").alias("file_id"), F.count("*").alias("n"))
+    return f.groupBy(upload_token(F.coalesce("stem", F.lit("")), F.col("t")).alias("token")).agg(F.min("file_id").alias("file_id"), F.count("*").alias("n"))
 
 
 def note_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -190,14 +197,6 @@ def answer_validity(spark: SparkSession, d: str) -> DataFrame:
     return validity(p, ["pair_id"], "src", "out")
 
 
-def offline_translation(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraph states after an offline run: stored answers are kept, failed and new ones asked again."""
-    p = table(spark, d, "translate_pairs").select("chapter_id", F.col("idx").cast("long").alias("idx"), "src", "out", "status").distinct().filter("src is not null and chapter_id is not null")
-    state = p.select("chapter_id", "idx", "src", F.col("out").alias("tgt"), "status")
-    new = translate_chapters(p.select("chapter_id", "idx", "src"), state, OfflineModel())
-    return new.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.coalesce("tgt", F.lit("")) == "").alias("n_blank"))
-
-
 def resume_states(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs that have to be asked again: failed ones, and those whose source has changed."""
     p = table(spark, d, "translate_pairs").select("chapter_id", F.col("idx").cast("long").alias("idx"), "src", "status", "pair_id").distinct().filter("src is not null and chapter_id is not null")
@@ -209,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pending_anti, known_inbox, orphan_audit, queue_plan, source_index, entity_links, preferred_text, translation_cache, best_translation, refresh_list, citation_check, metadata_override, status_counts, stage_counters, medians, chapter_nav, work_order,
-        name_search, queue_ops, first_occurrences, upload_dedup, note_stats, answer_validity, offline_translation, resume_states,
+        name_search, queue_ops, first_occurrences, upload_dedup, note_stats, answer_validity, resume_states,
     )
 }
 
@@ -232,7 +231,7 @@ SQL = {
     "best_translation": """SELECT stem, chapter_id, n FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, chapter_id) AS r FROM (SELECT stem, chapter_id, count(*) FILTER (status = 'translated') AS n FROM (SELECT DISTINCT stem, chapter_id, pair_id, status FROM translate_pairs WHERE stem IS NOT NULL) GROUP BY stem, chapter_id) WHERE n > 0) WHERE r = 1""",
     "refresh_list": """WITH c AS (SELECT stem, count(DISTINCT chapter_id) AS n_chapters FROM chapters WHERE stem IS NOT NULL GROUP BY stem), s AS (SELECT stem, count(DISTINCT chapter_id) AS n_done FROM wiki_notes WHERE summary IS NOT NULL GROUP BY stem)
         SELECT stem, n_chapters, coalesce(n_done, 0) AS n_done, CASE WHEN n_done IS NULL THEN 'new' ELSE 'refresh' END AS state FROM c LEFT JOIN s USING (stem)""",
-    "citation_check": f"""SELECT chapter_id, length({_DS('quote')}) >= 10 AND contains({S.sub('body', f'{T.WS}+')}, {_DS('quote')}) AS verified FROM (SELECT chapter_id, body, '“' || substring(body, 20, 60) || CASE WHEN chapter_id % 2 = 0 THEN '' ELSE '☂' END || '”' AS quote FROM (SELECT DISTINCT chapter_id, body FROM chapters WHERE length(body) > 120))""",
+    "citation_check": f"""SELECT chapter_id, length({_DS('quote')}) >= 10 AND contains({S.sub('body', f'{T.WS}+')}, {_DS('quote')}) AS verified FROM (SELECT chapter_id, body, '“' || substring(body, 20, 60) || CASE WHEN chapter_id % 2 = 0 THEN '' ELSE '☂' END || '”' AS quote FROM (SELECT DISTINCT chapter_id, body FROM chapters WHERE body IS NOT NULL))""",
     "metadata_override": f"""WITH s AS (SELECT file_id, min(nullif({S.strip('author')}, '')) AS author, min(nullif({S.strip('published_date')}, '')) AS day FROM papermeta GROUP BY file_id), n AS (SELECT file_id, min(nullif({S.strip('author')}, '')) AS guess FROM wiki_notes JOIN {_C} USING (chapter_id) GROUP BY file_id)
         SELECT file_id, coalesce(author, guess, '') AS author, coalesce(day, '') AS day FROM (SELECT DISTINCT file_id FROM txt_files) LEFT JOIN s USING (file_id) LEFT JOIN n USING (file_id)""",
     "status_counts": "SELECT chapter_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in Q.STATES) + ", count(*) AS n FROM (SELECT DISTINCT chapter_id, pair_id, status FROM translate_pairs) GROUP BY chapter_id",

@@ -11,7 +11,7 @@ from folioforge.functions import biblio as B
 from folioforge.functions import python as P
 from folioforge.functions import text as T
 from folioforge.operators import notes as N
-from folioforge.operators.model import OfflineModel, lenient_json_column, overview_input, summarise
+from folioforge.operators.model import lenient_json_column
 from folioforge.plans import sqltext as S
 from folioforge.plans.text_queries import _filename
 from folioforge.session import table
@@ -64,7 +64,7 @@ def note_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def rebuilt_citations(spark: SparkSession, d: str) -> DataFrame:
     """Notes with a table of quotations, one real and one invented, held against the chapter."""
-    c = table(spark, d, "chapters").select("chapter_id", "body").distinct().filter("length(body) > 200")
+    c = table(spark, d, "chapters").select("chapter_id", "body").distinct().filter("body is not null")
     real = F.regexp_replace(F.substring("body", 30, 50), r"[\n|]", " ")
     md = F.concat(F.lit("## 핵심 요약\n\nx\n\n## 핵심 인용\n\n| 주제 | 인용 |\n|---|---|\n| a | "), real, F.lit(" |\n| b | an invented sentence that is long |\n\n## 관련 개념\n- y"))
     r = N.rebuild_citations(md, F.col("body"), F.lit(4))
@@ -88,15 +88,6 @@ def model_json(spark: SparkSession, d: str) -> DataFrame:
     return n.select("note_id", F.md5(lenient_json_column(raw, "summary string")["summary"]).alias("summary"))
 
 
-def summaries(spark: SparkSession, d: str) -> DataFrame:
-    """Offline summaries of chapters, and the overview input of their books."""
-    c = table(spark, d, "chapters").select("chapter_id", "stem", "chapter_no", "title", "body").distinct()
-    s = summarise(c.filter("body is not null"), "chapter_id", "body", OfflineModel())
-    j = c.join(s.withColumnRenamed("body", "note"), "chapter_id")
-    o = overview_input(j, "stem", "chapter_no", "title", "summary", F.col("body"), F.col("body"))
-    return o.select("stem", F.length("prompt").cast("long").alias("n_chars"))
-
-
 def nfc_names(spark: SparkSession, d: str) -> DataFrame:
     """Names in composed form, and how alike each is to its stem's title."""
     f = table(spark, d, "txt_files").select("file_id", "stem").distinct()
@@ -137,7 +128,7 @@ def stage_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.distinct().groupBy(F.date_format("mtime", "yyyy-MM-dd").alias("day"), "stage").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (chapter_notes, hub_notes, inline_notes, note_blocks, rebuilt_citations, backfilled, model_json, summaries, nfc_names, paper_pages, paper_metadata, stage_stream)}
+QUERIES = {f.__name__: f for f in (chapter_notes, hub_notes, inline_notes, note_blocks, rebuilt_citations, backfilled, model_json, nfc_names, paper_pages, paper_metadata, stage_stream)}
 
 _N = "n AS (SELECT DISTINCT note_id, chapter_id, coalesce(stem, '') AS stem, coalesce(chapter, '') AS chapter, coalesce(author, '') AS author, coalesce(summary, '') AS summary, coalesce(body, '') AS body, coalesce(model, '') AS model, coalesce(generated_on, '') AS generated_on, coalesce(category, '') AS category FROM wiki_notes)"
 _NL = "chr(10)"
@@ -161,7 +152,7 @@ SQL = {
         CAST(coalesce(max(CASE WHEN kind = 'heading' THEN least(4, length(regexp_extract(s, '^#+'))) END), 0) AS BIGINT) AS deepest FROM c GROUP BY note_id""",
     "rebuilt_citations": f"""SELECT chapter_id, CASE WHEN length(qd) >= 10 AND contains({S.sub('body', f'{T.WS}+')}, qd) THEN 1 ELSE 0 END::BIGINT AS n_kept,
         md5('## 핵심 요약' || chr(10) || chr(10) || 'x' || chr(10) || chr(10) || '## 핵심 인용' || chr(10) || chr(10) || '| 주제 | 원문 인용(대조 검증) |' || chr(10) || '|---|---|' || chr(10) || CASE WHEN length(qd) >= 10 AND contains({S.sub('body', f'{T.WS}+')}, qd) THEN '' ELSE '| (원문 확인된 직접 인용 없음) | |' || chr(10) END || '## 관련 개념' || chr(10) || '- y') AS body
-        FROM (SELECT chapter_id, body, {S.sub(S.sub(S.sub("regexp_replace(substring(body, 30, 50), '[" + chr(92) + "n|]', ' ', 'g')", r"\([^)]*\)"), f"{T.WS}+"), "^[\"“”‘’ ]+|[\"“”‘’ ]+$")} AS qd FROM (SELECT DISTINCT chapter_id, body FROM chapters WHERE length(body) > 200))""",
+        FROM (SELECT chapter_id, body, {S.sub(S.sub(S.sub("regexp_replace(substring(body, 30, 50), '[" + chr(92) + "n|]', ' ', 'g')", r"\([^)]*\)"), f"{T.WS}+"), "^[\"“”‘’ ]+|[\"“”‘’ ]+$")} AS qd FROM (SELECT DISTINCT chapter_id, body FROM chapters WHERE body IS NOT NULL))""",
     "model_json": f"WITH {_N} SELECT note_id, md5(summary) AS summary FROM n",
     "paper_pages": """SELECT paper_id, CASE paper_id % 3 WHEN 0 THEN 'https://example.org/pdf/' || paper_id || '.pdf?a=1&b=2' WHEN 1 THEN 'https://example.org/p/x/' || paper_id || '.pdf' ELSE '' END AS link, CASE WHEN paper_id % 2 = 0 THEN 'a b' || paper_id || '.pdf' ELSE paper_id || '.pdf' END AS file FROM (SELECT DISTINCT paper_id FROM papermeta)""",
     "paper_metadata": f"SELECT paper_id, {S.squeeze('t')} AS title, 'A B' AS author, {S.strip('p')} AS day, {S.strip('h')} AS publisher FROM (SELECT DISTINCT paper_id, coalesce(title, '') AS t, coalesce(published_date, '') AS p, coalesce(publisher, '') AS h FROM papermeta)",

@@ -93,13 +93,6 @@ def skip_sections(spark: SparkSession, d: str) -> DataFrame:
     return G.skipped_sections(p.select("chapter_id", (F.col("idx") * 10).alias("idx"), "src").unionByName(head), "chapter_id", "idx", "src").select("chapter_id", F.col("idx").cast("long").alias("idx"))
 
 
-def chapter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Books made of documents with numbered headings, split again: mode and body of each chapter."""
-    books = _books(spark, d)
-    got = C.split_books(books, "book", "text")
-    return got.select("book", "mode", "chapter_no", F.md5(T.strip(F.regexp_replace("body", r"^[^\n]*\n", ""))).alias("body"))
-
-
 def file_chapters(spark: SparkSession, d: str) -> DataFrame:
     """Chapters of every converted file, by whichever tier finds them."""
     files = table(spark, d, "txt_files").select("file_id", "txt").distinct()
@@ -119,16 +112,6 @@ def _chapters(got: DataFrame) -> DataFrame:
     return got.select("file_id", "mode", "chapter_no", "title", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("body"))
 
 
-def _books(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").filter("length(text) between 1200 and 4000 and text not like '%Chapter%' and not regexp_like(text, '(?m)^ *[0-9]')")
-    docs = docs.filter(~F.col("text").rlike(r"(?mi)^\s*(references|bibliography|참고문헌|미주|주석)\s*$") & ~F.col("text").rlike(r"\s{3,}|[^\n]{0}\t"))
-    w = W.partitionBy("source").orderBy("doc_id")
-    docs = docs.withColumn("i", F.row_number().over(w) - 1).withColumn("k", (F.col("i") % 12 + 1).cast("long"))
-    docs = docs.withColumn("book", F.concat_ws("#", "source", F.floor(F.col("i") / 12).cast("string")))
-    part = F.concat(F.lit("Chapter "), F.col("k").cast("string"), F.lit(": Of Mills\n"), "text", F.lit("\n"))
-    return docs.groupBy("book").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("p")))), lambda x: x["p"]), "").alias("text"), F.count("*").alias("n")).filter("n >= 3").drop("n")
-
-
 def chapter_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Share of each file's text that its stored chapters hold."""
     f = table(spark, d, "txt_files").select("file_id", F.coalesce("txt", F.lit("")).alias("txt")).distinct()
@@ -173,7 +156,7 @@ def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, chapter_roundtrip, file_chapters, page_chapters, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages)
+    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, file_chapters, page_chapters, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages)
 }
 
 _P = "(SELECT DISTINCT file_id, page_no, txt FROM txt_pages WHERE txt IS NOT NULL)"
@@ -188,7 +171,6 @@ _KEPT = f"""kept AS (SELECT lines.* FROM lines LEFT JOIN counts USING (file_id,
 _REFLOW = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(body, '\\n[ \\t]*\\n'), lambda p: list_reduce(list_filter(list_transform(string_split(p, chr(10)), lambda r: {S.strip('r')}), lambda r: r <> ''),
     lambda a, r: CASE WHEN a = '' THEN r WHEN a[-1] = '-' AND regexp_matches(r, '^\\p{{Ll}}') THEN a[:-2] || r WHEN a[-1] = '-' THEN a || r ELSE a || ' ' || r END, '')), lambda p: p <> ''), chr(10) || chr(10))"""
 _H = lambda x: f"(CASE WHEN len({S.tokens(x)}) = 0 THEN 1.0 ELSE len(list_filter({S.tokens(x)}, lambda y: length(y) >= 26))::DOUBLE / len({S.tokens(x)}) END)"
-_ODD = "regexp_matches(text, '(?m)^ *[0-9]') OR text LIKE '%Chapter%' OR regexp_matches(text, '(?mi)^\\s*(references|bibliography|참고문헌|미주|주석)\\s*$') OR regexp_matches(text, '\\s{3,}|\\t')"
 
 SQL = {
     "furniture_lines": f"WITH {_LINES}, {_KEPT} SELECT file_id, page_no, CAST(line_no AS BIGINT) AS line_no, md5(s) AS line FROM kept",
@@ -204,11 +186,8 @@ SQL = {
         SELECT chapter_id, CAST(len(m) AS BIGINT) AS n, md5(array_to_string(m, chr(10) || chr(10))) AS text FROM m""",
     "skip_sections": """WITH p AS (SELECT chapter_id, idx, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) AS rn, count(*) OVER (PARTITION BY chapter_id) AS n FROM (SELECT DISTINCT chapter_id, idx, src FROM translate_pairs WHERE src IS NOT NULL))
         SELECT chapter_id, CAST(idx * 10 AS BIGINT) AS idx FROM p WHERE rn > n - 2 AND n >= 3 UNION ALL SELECT chapter_id, CAST(idx * 10 + 5 AS BIGINT) FROM p WHERE rn = n - 2""",
-    "chapter_roundtrip": f"""WITH docs AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents WHERE length(text) BETWEEN 1200 AND 4000 AND NOT ({_ODD})),
-        b AS (SELECT source || '#' || (i // 12) AS book, i % 12 + 1 AS k, text FROM docs), n AS (SELECT book, count(*) AS n FROM b GROUP BY book)
-        SELECT book, 'numbered' AS mode, CAST(k AS BIGINT) AS chapter_no, md5({S.strip('text')}) AS body FROM b JOIN n USING (book) WHERE n >= 3""",
     "chapter_coverage": """WITH f AS (SELECT DISTINCT file_id, coalesce(txt, '') AS t FROM txt_files), c AS (SELECT file_id, count(*) AS n_chapters, sum(length(b)) AS held FROM (SELECT DISTINCT file_id, chapter_id, coalesce(body, '') AS b FROM chapters) GROUP BY file_id)
-        SELECT file_id, n_chapters, round(held::DOUBLE / greatest(length(t), 1), 6) AS coverage FROM f JOIN c USING (file_id)""",
+        SELECT file_id, n_chapters, round(held::DOUBLE / greatest(length(t), 1), 6) AS coverage, held::DOUBLE / greatest(length(t), 1) < 0.6 AS warning FROM f JOIN c USING (file_id)""",
     "page_layout": f"""WITH p AS (SELECT file_id, page_no - 1 AS page_no, txt, length(regexp_replace(txt, '\\s+', '', 'g')) AS n FROM {_P}),
         a AS (SELECT *, coalesce(sum(length(txt) + 1) OVER (PARTITION BY file_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM p),
         m AS (SELECT file_id, list_sort(list(n) FILTER (n > 0)) AS l, max(page_no) AS last FROM p GROUP BY file_id),

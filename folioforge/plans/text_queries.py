@@ -147,6 +147,11 @@ def _key(x: str) -> str:
     return out
 
 
+_NAME_PARTS = f"list_filter(list_transform(string_split(coalesce(stem, ''), '_'), lambda x: {S.strip('x')}), lambda x: x <> '')"
+#: An author in a stem.
+AUTHOR = f"(CASE WHEN len({_NAME_PARTS}) >= 2 AND length(({_NAME_PARTS})[-1]) BETWEEN 2 AND 25 AND NOT regexp_matches(({_NAME_PARTS})[-1], '[0-9]') THEN ({_NAME_PARTS})[-1] ELSE '' END)"
+
+
 def _filename(x: str) -> str:
     safe = S.sub(S.strip(S.sub(S.sub(x, r"[/\\:]", " - "), r'[*?"<>|]')), r"\s{2,}", " ")
     return f"CASE WHEN {safe} = '' THEN 'untitled' ELSE {safe} END || '.md'"
