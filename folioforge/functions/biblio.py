@@ -165,3 +165,13 @@ def summary_parts(text: Column) -> Column:
     has = t.rlike(line)
     after = F.regexp_replace(t, r"(?sd)^.*?(?:^|\n)[ \t]*> \*\*요약:\*\*[^\n]*(?:\n|$)", "")
     return F.struct(F.when(has, strip(F.regexp_extract(t, line, 1))).otherwise(F.lit("")).alias("summary"), strip(F.when(has, after).otherwise(t)).alias("body"))
+
+
+def paper_metadata(source: Column, arxiv: Column, crossref: Column) -> Column:
+    """The answer that counts for a source, of two structs of the same fields: arXiv's where the source has its number and it gave one, then CrossRef's where the source has a DOI; null else."""
+    return F.coalesce(F.when(arxiv_id(source).isNotNull(), arxiv), F.when(doi(source).isNotNull(), crossref))
+
+
+def sidecar_json(meta: Column) -> Column:
+    """A paper's metadata as the JSON beside its file; null where there is none."""
+    return F.when(meta.isNotNull(), F.to_json(meta))

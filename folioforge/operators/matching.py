@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioforge.functions.text import WS, despace, entity_key, note_filename
+from folioforge.functions.python import nfc
+from folioforge.functions.text import WS, despace, entity_key, note_filename, strip
 
 #: Least likeness of two keys, least length of a quotation without white space.
 CUTOFF, QUOTE_CHARS = 0.88, 10
@@ -98,10 +99,6 @@ def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates
             r = likeness(rows.column(0).to_pylist(), rows.column(1).to_pylist(), CUTOFF)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(r, pa.float64())], names=["cand", "key", "ratio"])
 
-    # Each unmatched letter spoils two pairs at most: keys with fewer pairs in common can't be as alike.
-    ga = grams(F.col("cand"))
-    spoiled = F.ceil((1 - CUTOFF) * 2 * (F.length("cand") + F.length("key"))) + 1
-    near = near & (F.size(F.array_intersect(ga, grams(F.col("key")))) >= F.size(ga) - spoiled)
     scored = pairs.sortWithinPartitions("cand").mapInArrow(ratio, "cand string, key string, ratio double").filter(F.col("ratio") >= CUTOFF)
     best = scored.groupBy("cand").agg(F.max_by("key", F.struct("ratio", "key")).alias("key"))
     fuzzy = left.join(best, "cand").groupBy(note_id).agg(F.min_by("key", "ord").alias("key")).withColumn("how", F.lit("fuzzy"))
@@ -133,3 +130,39 @@ def verify_citations(quotes: DataFrame, texts: DataFrame, on: str, quote: str, t
 def override(model: Column, sidecar: Column) -> Column:
     """A value delivered with the source before what a model wrote."""
     return F.coalesce(F.nullif(sidecar, F.lit("")), model)
+
+
+#: Suffixes of files that count as processed.
+PROCESSED = ("pdf", "txt", "md", "docx", "doc")
+
+
+def processed_stems(roots: list[DataFrame], done: DataFrame, name: str) -> DataFrame:
+    """``stem``: composed stems of the files under any of the roots and of the names in the done file, once each."""
+    suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    every = done.select(strip(F.col(name)).alias("name"))
+    for df in roots:
+        every = every.unionByName(df.filter(suffix.isin(*PROCESSED)).select(F.col(name).alias("name")))
+    stem = F.regexp_replace(F.element_at(F.split("name", "/"), -1), r"\.[^.]+$", "")
+    return every.filter("name is not null").select(stem.alias("stem")).filter("stem <> ''").distinct().select(nfc("stem").alias("stem")).distinct()
+
+
+def file_counts(files: DataFrame, name: str, exts: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """``ext, n``: files of each suffix, those out whose stem ends in one of ``without``."""
+    stem, ext = F.regexp_replace(name, r"\.[^.]+$", ""), F.regexp_extract(name, r"\.([^.]+)$", 1)
+    kept = files.filter(ext.isin(*exts))
+    for end in without:
+        kept = kept.filter(~stem.endswith(end))
+    return kept.groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
+
+
+def best_by_count(rows: DataFrame, group: str, candidate: str, n: str) -> DataFrame:
+    """``group, candidate, n``: of each group the candidate with the largest count above 0, the first of equals."""
+    best = rows.filter(F.col(n) > 0).groupBy(group).agg(F.max(F.struct(F.col(n).alias("n"), (-F.col(candidate)).alias("c"))).alias("m"))
+    return best.select(group, (-F.col("m.c")).alias(candidate), F.col("m.n").alias(n))
+
+
+def refresh_list(chapters: DataFrame, done: DataFrame, book: str, chapter: str) -> DataFrame:
+    """``book, n_chapters, n_done, state``: books with a summarised chapter are refreshed, the others are new."""
+    c = chapters.filter(F.col(book).isNotNull()).groupBy(book).agg(F.count_distinct(chapter).alias("n_chapters"))
+    s = done.groupBy(book).agg(F.count_distinct(chapter).alias("n_done"))
+    return c.join(s, book, "left").select(book, "n_chapters", F.coalesce("n_done", F.lit(0)).alias("n_done"), F.when(F.col("n_done").isNull(), "new").otherwise("refresh").alias("state"))

@@ -131,6 +131,11 @@ def retry_prompt(paragraph: Column) -> Column:
     return F.concat(F.lit("Translate the following academic paragraph into Korean. Preserve numbering. Output ONLY the Korean text.\n\n"), paragraph)
 
 
+def heading_like(paragraph: Column) -> Column:
+    """Does a paragraph begin with a section number, so that its answer must keep it?"""
+    return paragraph.rlike(r"(?i)^\s*(?:\d+(?:\.\d+)*|[IVXLC]+)\s+[^\n]+")
+
+
 #: Fixed value: proper nouns of a glossary that a prompt carries, the latest ones.
 GLOSSARY_MOST = 80
 

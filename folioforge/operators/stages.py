@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from folioforge.functions.text import strip
+
 #: The stages in order, and the states of a paragraph.
 STAGES = ("tab2_ready", "tab3_ready", "tab4_ready", "tab4_failed", "tab5_ready")
 STATES = ("translated", "preserved", "dropped", "failed")
@@ -72,3 +74,18 @@ def disambiguated(items: DataFrame, key: str, order: str) -> DataFrame:
     """Keys made different by ``__N`` behind the second and later ones."""
     n = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
     return items.withColumn("widget_key", F.when(n == 0, F.col(key)).otherwise(F.concat_ws("__", key, n.cast("string"))))
+
+
+def language_files(blocks: DataFrame, key: str, order: list[str], src: str, out: str) -> DataFrame:
+    """``key, en, ko``: a bilingual text's sources and its answers in order as two texts, without blanks and marks of kept originals."""
+    def joined(c: str) -> Column:
+        text = strip(F.coalesce(F.col(c), F.lit("")))
+        kept = F.when((text != "") & ~text.startswith("(원문 보존"), F.struct(*order, text.alias("t"))) if c == out else F.when(text != "", F.struct(*order, text.alias("t")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["t"]), "\n\n")
+
+    return blocks.groupBy(key).agg(joined(src).alias("en"), joined(out).alias("ko"))
+
+
+def autostart(queue: DataFrame, processed: DataFrame, stage: str) -> DataFrame:
+    """``item, seq`` of a stage's entries that were just processed: the next stage begins with those and leaves the others waiting."""
+    return queue.filter(F.col("stage") == stage).join(processed.select("item").distinct(), "item", "left_semi").select("item", "seq")

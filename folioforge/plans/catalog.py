@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import chapter_queries, join_queries, model_queries, notes_queries, segment_queries, text_queries
+from folioforge.plans import chapter_queries, join_queries, model_queries, notes_queries, segment_queries, settings_queries, text_queries
 
-_MODULES = (text_queries, segment_queries, chapter_queries, join_queries, model_queries, notes_queries)
+_MODULES = (text_queries, segment_queries, chapter_queries, join_queries, model_queries, notes_queries, settings_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

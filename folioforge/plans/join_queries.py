@@ -81,15 +81,13 @@ def translation_cache(spark: SparkSession, d: str) -> DataFrame:
 def best_translation(spark: SparkSession, d: str) -> DataFrame:
     """Of each stem the chapter with the most translated paragraphs."""
     p = table(spark, d, "translate_pairs").select("stem", "chapter_id", "pair_id", "status").distinct().filter("stem is not null")
-    n = p.groupBy("stem", "chapter_id").agg(F.count_if(F.col("status") == "translated").alias("n")).filter("n > 0")
-    return n.groupBy("stem").agg(F.max(F.struct("n", (-F.col("chapter_id")).alias("c"))).alias("m")).select("stem", (-F.col("m.c")).alias("chapter_id"), F.col("m.n").alias("n"))
+    n = p.groupBy("stem", "chapter_id").agg(F.count_if(F.col("status") == "translated").alias("n"))
+    return M.best_by_count(n, "stem", "chapter_id", "n")
 
 
 def refresh_list(spark: SparkSession, d: str) -> DataFrame:
     """Chaptered books that have a note (refresh) or not (new), with their progress."""
-    c = _chapters(spark, d).filter("stem is not null").groupBy("stem").agg(F.count_distinct("chapter_id").alias("n_chapters"))
-    s = table(spark, d, "wiki_notes").filter("summary is not null").groupBy("stem").agg(F.count_distinct("chapter_id").alias("n_done"))
-    return c.join(s, "stem", "left").select("stem", "n_chapters", F.coalesce("n_done", F.lit(0)).alias("n_done"), F.when(F.col("n_done").isNull(), "new").otherwise("refresh").alias("state"))
+    return M.refresh_list(_chapters(spark, d), table(spark, d, "wiki_notes").filter("summary is not null"), "stem", "chapter_id")
 
 
 def citation_check(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from folioforge.operators import notes as N
 from folioforge.operators.model import lenient_json_column
 from folioforge.plans import sqltext as S
 from folioforge.plans.text_queries import _filename
-from folioforge.session import table
+from folioforge.session import shared_folder, table
 from folioforge.streaming import stages as R
 
 
@@ -117,10 +115,8 @@ def paper_metadata(spark: SparkSession, d: str) -> DataFrame:
 def stage_stream(spark: SparkSession, d: str) -> DataFrame:
     """Files as a stream: routed to their stage and counted by day, late ones included; one run over what there is."""
     schema = table(spark, d, "txt_files").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     stream = spark.readStream.schema(schema).parquet(f"{d}/txt_files.parquet*")
-    name = f"stages_{abs(hash((d, base))) % 10**8}"
-    out = f"{base.rstrip('/')}/{name}_{spark.sparkContext.applicationId}"
+    out = shared_folder(spark, "stage_stream", d)
     counted = R.routed(stream.select("file_id", "stem", "mtime").filter("stem is not null"), "stem")
     q = counted.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import tempfile
@@ -9,6 +10,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_TEMPORARY: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", name: str = "folioforge", **conf: str) -> SparkSession:
@@ -43,13 +45,35 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def _local(spark: SparkSession) -> bool:
+    """Does everything run on this machine, so that its temporary folder is shared by all tasks?"""
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. A temporary one only in local mode (tests); else an error, as other machines couldn't read it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not _local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    app = spark.sparkContext.applicationId
+    if app not in _TEMPORARY:
+        _TEMPORARY[app] = tempfile.mkdtemp(prefix="folioforge-shared-")
+    return _TEMPORARY[app]
+
+
+def shared_folder(spark: SparkSession, name: str, *parts: str) -> str:
+    """A folder of a query in the shared folder, one an application and set of arguments."""
+    key = hashlib.sha1("\n".join(parts).encode()).hexdigest()[:12]
+    return f"{shared_base(spark)}/{name}_{spark.sparkContext.applicationId}_{key}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared checkpoint folder; set a local one only where none is set (tests)."""
+    """Checkpoints go to the shared folder."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioforge-ckpt-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_base(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

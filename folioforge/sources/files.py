@@ -9,27 +9,51 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import folder_name
+from folioforge.functions.biblio import upload_token
+from folioforge.functions.text import folder_name, strip
 
 #: What an inbox takes, the signature of old office files, name space of document XML.
 INBOX = ("pdf", "docx", "hwp", "hwpx", "txt", "md")
 OLE2 = bytes.fromhex("D0CF11E0")
+#: Fixed value: bytes of the largest download.
+DOWNLOAD_MOST = 25 * 1024 * 1024
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def inbox(spark: SparkSession, path: str) -> DataFrame:
     """``path, stem, ext, size, mtime, content, token`` of files that can be taken in, newest first."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return inbox_rows(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def inbox_rows(files: DataFrame) -> DataFrame:
+    """The same of rows (path, length, modificationTime, content)."""
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    token = F.concat_ws(":", name, F.col("length").cast("string"), F.substring(F.sha1("content"), 1, 12))
-    rows = df.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), ext.alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", token.alias("token"))
+    rows = files.select("path", F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), ext.alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content", upload_token(name, F.col("content")).alias("token"))
     return rows.filter(F.col("ext").isin(*INBOX)).orderBy(F.desc("mtime"), "path")
 
 
+def is_ole2(content: Column) -> Column:
+    """Does a file begin as old office files do, whatever its suffix says?"""
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(OLE2), F.lit(False))
+
+
+def sniff(content: Column, content_type: Column, size: Column) -> Column:
+    """What a downloaded answer is: ``too_large``, ``pdf``, ``text``, ``html`` (to be searched for a PDF link) or ``unsupported``."""
+    kind, head = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.left(F.coalesce(content.cast("string"), F.lit("")), F.lit(2048)))
+    page = F.regexp_replace(F.left(head, F.lit(512)), r"^\s+", "").startswith("<!doctype html") | head.contains("<html")
+    return (
+        F.when(size > DOWNLOAD_MOST, "too_large")
+        .when(head.startswith("%pdf") | kind.contains("application/pdf"), "pdf")
+        .when(kind.contains("text/plain"), "text")
+        .when(kind.contains("html") | page, "html")
+        .otherwise("unsupported")
+    )
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, stem, text`` of whole text files."""
     df = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -55,6 +79,11 @@ def clean_converted(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"!\[[^\]]*\]\([^)]*\)|\[(?:image|그림)[^\]]*\]", "", text)).strip()
 
 
+def clean_converted_column(text: Column) -> Column:
+    """The same as an expression."""
+    return strip(F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)|\[(?:image|그림)[^\]]*\]", ""), r"\n{3,}", "\n\n"))
+
+
 def office_texts(files: DataFrame) -> DataFrame:
     """``path, stem, text, error`` of inbox rows; what can't be read is a value, never an exception."""
 
@@ -78,6 +107,11 @@ def notes(spark: SparkSession, path: str, nested_roots: DataFrame | None = None)
     """``path, content`` of Markdown files outside hidden folders and nested vaults."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     df = df.select(F.url_decode(F.input_file_name()).alias("path"), F.col("value").alias("content"))
+    return note_candidates(df, path, nested_roots)
+
+
+def note_candidates(df: DataFrame, path: str, nested_roots: DataFrame | None = None) -> DataFrame:
+    """Rows with a ``path`` below ``path`` outside hidden folders and nested vaults."""
     rel = F.split(F.regexp_replace("path", "^.*?" + re.escape(path.rstrip("/")) + "/", ""), "/")
     df = df.filter(~F.exists(rel, lambda p: p.startswith(".") | p.startswith("_")))
     if nested_roots is not None:
@@ -90,14 +124,23 @@ def notes(spark: SparkSession, path: str, nested_roots: DataFrame | None = None)
 
 def vaults(spark: SparkSession, path: str) -> DataFrame:
     """``path, ts`` of a vault registry, newest first."""
-    raw = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", "vaults map<string, struct<path: string, ts: long>>")["vaults"]
-    return raw.select(F.explode(F.map_values(m)).alias("v")).select("v.path", "v.ts").orderBy(F.desc("ts"))
+    return vault_rows(spark.read.text(path, wholetext=True), "value")
+
+
+def vault_rows(registries: DataFrame, value: str) -> DataFrame:
+    """The same of rows with a registry's JSON."""
+    m = F.from_json(value, "vaults map<string, struct<path: string, ts: long>>")["vaults"]
+    return registries.select(F.explode(F.map_values(m)).alias("v")).select("v.path", "v.ts").orderBy(F.desc("ts"))
 
 
 def log_tail(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
     """The last n lines by their time stamps."""
-    rows = spark.read.text(path).select(F.regexp_extract("value", r"^\[([0-9: \-]{19})\]", 1).alias("at"), F.col("value").alias("line"))
+    return log_lines(spark.read.text(path), "value", n)
+
+
+def log_lines(lines: DataFrame, value: str, n: int = 20) -> DataFrame:
+    """The same of rows with a line each."""
+    rows = lines.select(F.regexp_extract(value, r"^\[([0-9: \-]{19})\]", 1).alias("at"), F.col(value).alias("line"))
     return rows.filter("at <> ''").orderBy(F.desc("at"), F.desc("line")).limit(n)
 
 
@@ -119,3 +162,7 @@ def write_notes(rendered: DataFrame, path: str, by: str) -> None:
 
 def append_done(done: DataFrame, path: str) -> None:
     done.select("name").write.mode("append").parquet(path)
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
