@@ -23,6 +23,12 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@pandas_udf(StringType())
+def nfd(text: pd.Series) -> pd.Series:
+    """Decomposed normal form, as some file systems name files; null stays null."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+
+
 @pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of ``a`` against ``b``, whose order matters; null counts as empty."""

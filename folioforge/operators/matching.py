@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from folioforge.functions.python import nfc
-from folioforge.functions.text import WS, despace, entity_key, note_filename, strip
+from folioforge.functions.text import WS, asks_for_text, despace, entity_key, hangul_ratio, note_filename, squeeze, strip
+from folioforge.operators.model import VALID_RATIO
 
 #: Least likeness of two keys, least length of a quotation without white space.
 CUTOFF, QUOTE_CHARS = 0.88, 10
@@ -166,3 +167,9 @@ def refresh_list(chapters: DataFrame, done: DataFrame, book: str, chapter: str)
     c = chapters.filter(F.col(book).isNotNull()).groupBy(book).agg(F.count_distinct(chapter).alias("n_chapters"))
     s = done.groupBy(book).agg(F.count_distinct(chapter).alias("n_done"))
     return c.join(s, book, "left").select(book, "n_chapters", F.coalesce("n_done", F.lit(0)).alias("n_done"), F.when(F.col("n_done").isNull(), "new").otherwise("refresh").alias("state"))
+
+
+def ruled_answer(out: Column) -> Column:
+    """Is an answer not blank, no request for the text, and partly Hangul? What ``valid_answer`` asks besides likeness."""
+    text = squeeze(F.coalesce(out, F.lit("")))
+    return (text != "") & ~asks_for_text(text) & (hangul_ratio(text) >= VALID_RATIO)

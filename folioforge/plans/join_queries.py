@@ -12,7 +12,7 @@ from folioforge.operators import matching as M
 from folioforge.operators import stages as Q
 from folioforge.operators.model import validity
 from folioforge.plans import sqltext as S
-from folioforge.plans.text_queries import _filename, _key
+from folioforge.plans.text_queries import _asks, _filename, _key
 from folioforge.session import table
 
 
@@ -63,6 +63,11 @@ def entity_links(spark: SparkSession, d: str) -> DataFrame:
     return M.link_entities(n.select("note_id", cand.alias("c")), keys, "note_id", "c", "key")
 
 
+def exact_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links of ``entity_links`` that need no likeness."""
+    return entity_links(spark, d).filter("how = 'exact'").select("note_id", "key")
+
+
 def preferred_text(spark: SparkSession, d: str) -> DataFrame:
     """Each chapter's text to summarise: the translated paragraphs, else its body."""
     c = table(spark, d, "chapters").select("chapter_id", "body").distinct()
@@ -195,6 +200,13 @@ def answer_validity(spark: SparkSession, d: str) -> DataFrame:
     return validity(p, ["pair_id"], "src", "out")
 
 
+def answer_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What of an answer's validity needs no likeness: it isn't blank, doesn't ask for the text, has Hangul; such answers are all the valid ones among."""
+    p = table(spark, d, "translate_pairs").select("pair_id", "src", "out").distinct()
+    ruled = p.select("pair_id", M.ruled_answer(F.col("out")).alias("ruled"))
+    return ruled.join(validity(p, ["pair_id"], "src", "out"), "pair_id").select("pair_id", "ruled", (F.col("valid") & ~F.col("ruled")).alias("against"))
+
+
 def resume_states(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs that have to be asked again: failed ones, and those whose source has changed."""
     p = table(spark, d, "translate_pairs").select("chapter_id", F.col("idx").cast("long").alias("idx"), "src", "status", "pair_id").distinct().filter("src is not null and chapter_id is not null")
@@ -205,8 +217,8 @@ def resume_states(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        pending_anti, known_inbox, orphan_audit, queue_plan, source_index, entity_links, preferred_text, translation_cache, best_translation, refresh_list, citation_check, metadata_override, status_counts, stage_counters, medians, chapter_nav, work_order,
-        name_search, queue_ops, first_occurrences, upload_dedup, note_stats, answer_validity, resume_states,
+        pending_anti, known_inbox, orphan_audit, queue_plan, source_index, entity_links, exact_links, preferred_text, translation_cache, best_translation, refresh_list, citation_check, metadata_override, status_counts, stage_counters, medians, chapter_nav, work_order,
+        name_search, queue_ops, first_occurrences, upload_dedup, note_stats, answer_validity, answer_rules, resume_states,
     )
 }
 
@@ -223,6 +235,9 @@ SQL = {
     "queue_plan": f"""WITH t AS (SELECT stem, max(n_chars) AS n FROM {_F} WHERE stem IS NOT NULL GROUP BY stem), q AS (SELECT DISTINCT stem FROM papermeta WHERE stem IS NOT NULL), c AS (SELECT DISTINCT stem FROM chapters WHERE mode <> 'single')
         SELECT coalesce(t.stem, q.stem) AS stem, CASE WHEN n IS NULL THEN 'missing' WHEN coalesce(t.stem, q.stem) IN (SELECT stem FROM c) THEN 'dup' WHEN n < 800 THEN 'short' ELSE 'pending' END AS state, q.stem IS NOT NULL AS queued FROM t FULL JOIN q ON t.stem = q.stem""",
     "source_index": f"SELECT k AS key, arg_min(stem, (file_id, stem)) AS stem, count(*) AS n_sources FROM (SELECT *, {_key('stem')} AS k FROM {_F}) WHERE k <> '' GROUP BY k",
+    "exact_links": f"""WITH n AS (SELECT DISTINCT note_id, stem, chapter, CASE WHEN note_id % 3 = 0 THEN substring(stem, 1, 3) || 'q' || substring(stem, 4) ELSE stem END AS typed FROM wiki_notes WHERE stem IS NOT NULL), k AS (SELECT DISTINCT {_key('stem')} AS key FROM {_F} WHERE stem IS NOT NULL),
+        c AS (SELECT note_id, 0 AS ord, {_key('typed')} AS cand FROM n UNION ALL SELECT note_id, 1, {_key("coalesce(chapter, '')")} FROM n) SELECT note_id, arg_min(key, ord) AS key FROM c JOIN k ON cand = key WHERE cand <> '' GROUP BY note_id""",
+    "answer_rules": f"""SELECT pair_id, {S.squeeze("coalesce(out, '')")} <> '' AND NOT ({_asks}) AND {S.hangul(S.squeeze("coalesce(out, '')"))} >= 0.08 AS ruled, false AS against FROM (SELECT DISTINCT pair_id, src, out FROM translate_pairs)""",
     "preferred_text": """WITH k AS (SELECT chapter_id, string_agg(out, chr(10) || chr(10) ORDER BY idx, out) AS ko FROM (SELECT DISTINCT chapter_id, idx, out FROM translate_pairs WHERE status = 'translated' AND out IS NOT NULL) GROUP BY chapter_id)
         SELECT chapter_id, md5(coalesce(nullif(ko, ''), nullif(body, ''))) AS text FROM (SELECT DISTINCT chapter_id, body FROM chapters) LEFT JOIN k USING (chapter_id)""",
     "translation_cache": "SELECT md5(src) AS src, md5(arg_min(out, (stem, pair_id))) AS tgt FROM (SELECT DISTINCT stem, pair_id, src, out FROM translate_pairs WHERE src <> '' AND out <> '' AND NOT starts_with(out, '(원문 보존')) GROUP BY src",

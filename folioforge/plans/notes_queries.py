@@ -11,7 +11,7 @@ from folioforge.functions import text as T
 from folioforge.operators import notes as N
 from folioforge.operators.model import lenient_json_column
 from folioforge.plans import sqltext as S
-from folioforge.plans.text_queries import _filename
+from folioforge.plans.text_queries import AUTHOR, _filename
 from folioforge.session import shared_folder, table
 from folioforge.streaming import stages as R
 
@@ -87,10 +87,21 @@ def model_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nfc_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names in composed form, and how alike each is to its stem's title."""
+    """Names in composed form, from a decomposed one, and titles in capitals as title case."""
     f = table(spark, d, "txt_files").select("file_id", "stem").distinct()
     title = F.regexp_replace("stem", "_[^_]*$", "")
-    return f.select("file_id", F.md5(P.nfc(F.col("stem"))).alias("name"), F.round(P.seq_ratio(F.col("stem"), title), 6).alias("ratio"), P.english_title(F.upper(title)).alias("title"))
+    return f.select("file_id", F.md5(P.nfc(P.nfd("stem"))).alias("name"), P.english_title(F.upper(title)).alias("title"))
+
+
+def stem_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """How alike each file's stem is to its title."""
+    f = table(spark, d, "txt_files").select("file_id", "stem").distinct()
+    return f.select("file_id", F.round(P.seq_ratio(F.col("stem"), F.regexp_replace("stem", "_[^_]*$", "")), 6).alias("ratio"))
+
+
+def backfill_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """How many notes have each outcome."""
+    return backfilled(spark, d).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def paper_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +135,7 @@ def stage_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.distinct().groupBy(F.date_format("mtime", "yyyy-MM-dd").alias("day"), "stage").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (chapter_notes, hub_notes, inline_notes, note_blocks, rebuilt_citations, backfilled, model_json, nfc_names, paper_pages, paper_metadata, stage_stream)}
+QUERIES = {f.__name__: f for f in (chapter_notes, hub_notes, inline_notes, note_blocks, rebuilt_citations, backfilled, backfill_outcomes, model_json, nfc_names, stem_likeness, paper_pages, paper_metadata, stage_stream)}
 
 _N = "n AS (SELECT DISTINCT note_id, chapter_id, coalesce(stem, '') AS stem, coalesce(chapter, '') AS chapter, coalesce(author, '') AS author, coalesce(summary, '') AS summary, coalesce(body, '') AS body, coalesce(model, '') AS model, coalesce(generated_on, '') AS generated_on, coalesce(category, '') AS category FROM wiki_notes)"
 _NL = "chr(10)"
@@ -136,7 +147,29 @@ def _link(x: str) -> str:
 
 
 _B = S.strip("l")
+_YAML = lambda k, v: f"""(CASE WHEN {v} = '' THEN '' ELSE '{k}: ' || CASE WHEN regexp_matches({v}, {S.q('[:#' + chr(92) + '[' + chr(92) + ']{}&,*!|>' + chr(39) + '"%@`]')}) THEN '"' || replace(replace({v}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' ELSE {v} END || chr(10) END)"""
+_SIDE = f"side AS (SELECT stem, min(nullif({S.strip('published_date')}, '')) AS day, min(nullif({S.strip('publisher')}, '')) AS house FROM papermeta WHERE stem IS NOT NULL GROUP BY stem)"
+_NO = lambda x: f"(CASE WHEN {x} < 10 THEN '0' ELSE '' END || {x})"
+_CAT = "CASE WHEN category = '' THEN '기타' ELSE category END"
+_SECTIONS = f"""{_N}, s AS (SELECT stem, note_id AS no, chapter AS title, summary, body, note_id % 3 = 0 AS noted FROM n WHERE stem <> ''), o AS (SELECT stem, max(category) AS category, max(model) AS model, max(generated_on) AS day, {AUTHOR} AS author FROM n WHERE stem <> '' GROUP BY stem)"""
+_DEMOTED = f"regexp_replace({S.strip('body')}, '(?m)^(#{{2,5}})(\\s)', '#\\1\\2', 'g')"
+_INLINE = f"""{_SECTIONS}, p AS (SELECT stem, string_agg(t, chr(10) ORDER BY no, t) AS parts, string_agg(k, chr(10) ORDER BY no, k) AS links FROM (
+        SELECT stem, no, '## ' || {_NO('no')} || '. ' || title || chr(10) || {_DEMOTED} || chr(10) AS t, '### ' || {_NO('no')} || '. ' || title || chr(10) || CASE WHEN summary <> '' THEN summary || chr(10) ELSE '' END || '→ [[' || stem || '/' || {_NO('no')} || '_' || title || '|전문 보기]]' || chr(10) AS k FROM s) GROUP BY stem),
+    j AS (SELECT stem, links, '---' || chr(10) || 'title: ' || stem || chr(10) || 'category: ' || category || chr(10) || 'summary: In short.' || chr(10) || 'published: 2020-03' || chr(10) || 'model: ' || model || chr(10) || 'generated: ' || day || chr(10) || 'mode: chapter(A)' || chr(10) || '---' || chr(10) || chr(10)
+        || '# ' || stem || chr(10) || chr(10) || '## 책 개요' || chr(10) || {S.strip("'About ' || stem")} || chr(10) || chr(10) || parts AS note FROM p JOIN o USING (stem)),
+    u AS (SELECT *, regexp_replace(note, '\\s+$', '') || chr(10) || chr(10) AS head FROM j)"""
 SQL = {
+    "nfc_names": f"""SELECT file_id, md5(nfc_normalize(stem)) AS name, CASE WHEN regexp_matches(u, '[A-Z]') AND NOT regexp_matches(u, '[가-힣]') THEN array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(u[i - 1], '\\pL') THEN u[i] ELSE lower(u[i]) END), '') ELSE u END AS title
+        FROM (SELECT *, replace(upper(regexp_replace(stem, '_[^_]*$', '')), 'ß', 'SS') AS u FROM (SELECT DISTINCT file_id, stem FROM txt_files))""",
+    "backfilled": f"""WITH {_N}, {_SIDE}, j AS (SELECT *, {_YAML('published', "coalesce(day, '')")} || {_YAML('publisher', "coalesce(house, '')")} AS lines FROM n LEFT JOIN side USING (stem))
+        SELECT note_id, CASE WHEN lines = '' THEN 'nothing' ELSE 'filled' END AS outcome, md5('title: ' || chapter || chr(10) || 'source: ' || stem || chr(10) || lines || 'model: ' || model) AS fm FROM j""",
+    "backfill_outcomes": f"""WITH {_N}, {_SIDE} SELECT CASE WHEN day IS NULL AND house IS NULL THEN 'nothing' ELSE 'filled' END AS outcome, count(*) AS n FROM n LEFT JOIN side USING (stem) GROUP BY 1""",
+    "hub_notes": f"""WITH {_SECTIONS}, l AS (SELECT *, {_link("stem || ' — ' || title")} AS link FROM s),
+        t AS (SELECT stem, string_agg(toc, chr(10) ORDER BY no, toc) AS toc, string_agg(part, chr(10) ORDER BY no, part) AS parts FROM (SELECT stem, no, '- ' || CASE WHEN noted THEN '✅' ELSE '📄' END || ' ' || link || ' — ' || substring(summary, 1, 60) || CASE WHEN length(summary) > 60 THEN '…' ELSE '' END AS toc,
+            '## ' || {_NO('no')} || '. ' || title || chr(10) || CASE WHEN noted THEN '> 📄 ' || link || chr(10) || chr(10) || summary || chr(10) ELSE '> ' || link || chr(10) || chr(10) || summary || chr(10) || chr(10) || body || chr(10) END AS part FROM l) GROUP BY stem)
+        SELECT stem, md5('---' || chr(10) || 'title: ' || stem || chr(10) || 'category: ' || {_CAT} || chr(10) || 'tags: ' || CASE WHEN {_CAT} = '기타' THEN '[]' ELSE '["' || category || '"]' END || chr(10) || 'source: ' || stem || '.txt' || chr(10) || CASE WHEN author <> '' THEN 'author: ' || author || chr(10) ELSE '' END || 'published: 2020-03' || chr(10)
+            || 'model: ' || model || chr(10) || 'generated: ' || day || chr(10) || '---' || chr(10) || chr(10) || '# ' || stem || chr(10) || chr(10) || 'About ' || stem || chr(10) || chr(10) || '**요약:** In short.' || chr(10) || chr(10) || '{N.TOC_HEADER}' || chr(10) || chr(10) || toc || chr(10) || chr(10) || parts) AS note FROM t JOIN o USING (stem)""",
+    "inline_notes": f"""WITH {_INLINE} SELECT stem, md5(note) AS note, md5(head || '{N.LINKS_HEADER}' || chr(10) || chr(10) || regexp_replace(links, '\\s+$', '') || chr(10)) AS linked, md5(head || '{N.LINKS_HEADER}' || chr(10) || chr(10) || 'none') AS replaced FROM u""",
     "chapter_notes": f"""WITH {_N}, w AS (SELECT *, lag(chapter) OVER k AS p, lead(chapter) OVER k AS x FROM n WINDOW k AS (PARTITION BY stem ORDER BY note_id)),
         v AS (SELECT *, concat_ws(' · ', CASE WHEN p IS NOT NULL THEN {_link("stem || ' — ' || p")} END, CASE WHEN x IS NOT NULL THEN {_link("stem || ' — ' || x")} END) AS nav, {_link('stem')} AS home FROM w),
         u AS (SELECT *, CASE WHEN nav <> '' THEN '  |  ' || nav ELSE '' END AS way FROM v)

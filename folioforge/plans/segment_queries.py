@@ -172,7 +172,42 @@ _REFLOW = f"""array_to_string(list_filter(list_transform(regexp_split_to_array(b
     lambda a, r: CASE WHEN a = '' THEN r WHEN a[-1] = '-' AND regexp_matches(r, '^\\p{{Ll}}') THEN a[:-2] || r WHEN a[-1] = '-' THEN a || r ELSE a || ' ' || r END, '')), lambda p: p <> ''), chr(10) || chr(10))"""
 _H = lambda x: f"(CASE WHEN len({S.tokens(x)}) = 0 THEN 1.0 ELSE len(list_filter({S.tokens(x)}, lambda y: length(y) >= 26))::DOUBLE / len({S.tokens(x)}) END)"
 
+def _packed(parts: str, target: int) -> str:
+    """Parts filled up to ``target``, those of no more than 50 characters left out."""
+    return f"""(CASE WHEN len({parts}) = 0 THEN [] ELSE list_filter(list_reduce(list_transform({parts}, lambda x: [x]), lambda a, b: CASE WHEN length(a[-1]) + length(b[1]) + 1 <= {target} THEN list_concat(a[:-2], [a[-1] || ' ' || b[1]]) ELSE list_concat(a, b) END), lambda x: length(x) > {G.PIECE}) END)"""
+
+
+def _paragraphs(source: str, key: str, text: str, target: int, least: int) -> str:
+    """Paragraphs of each text as a list: by blank lines, else packed lines, else packed sentences."""
+    joins = f"NOT starts_with(a[-1], '#') AND length(a[-1]) + length(b[1]) + 1 <= {G.MERGED} AND (NOT regexp_matches(a[-1], '[.!?:;\"”’)\\]]$') OR regexp_matches(b[1], '^[a-z]'))"
+    merged = f"list_reduce(list_transform(blank, lambda x: [x]), lambda a, b: CASE WHEN {joins} THEN list_concat(a[:-2], [a[-1] || ' ' || b[1]]) ELSE list_concat(a, b) END)"
+    return f"""t AS (SELECT {key}, {text} AS t FROM {source}),
+        b AS (SELECT {key}, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {S.strip('x')}), lambda x: length(x) > {G.PIECE}) AS blank, list_filter(list_transform(string_split(t, chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '') AS line,
+            list_filter(list_transform(string_split(regexp_replace(replace(t, chr(10), ' '), {S.q(f'([.!?]){T.WS}+')}, '\\1' || chr(1), 'g'), chr(1)), lambda x: {S.strip('x')}), lambda x: length(x) > {G.SENTENCE}) AS sentence FROM t),
+        c AS (SELECT *, {_packed('line', target)} AS by_line, {_packed('sentence', target)} AS by_sentence FROM b),
+        p AS (SELECT {key}, CASE WHEN len(blank) >= {least} AND list_sum(list_transform(blank, lambda x: length(x))) <= {2 * target} * len(blank) THEN {merged} WHEN len(by_line) >= {least} THEN by_line WHEN len(by_sentence) > 0 THEN by_sentence ELSE blank END AS l FROM c)"""
+
+
+_APART, _PLAIN = r"^([0-9]\s[0-9])[\s.,):]\s*\S", r"^\[?([0-9]{1,3})\]?[\s.,):]."
+_REST = f"CASE WHEN apart <> '' THEN {S.sub('p', '^[0-9]' + chr(92) + 's[0-9][' + chr(92) + 's.,):]' + chr(92) + 's*')} ELSE {S.sub('p', '^' + chr(92) + '[?[0-9]{1,3}' + chr(92) + ']?[' + chr(92) + 's.,):]')} END"
+
 SQL = {
+    "paragraph_pack": f"WITH {_paragraphs('(SELECT DISTINCT chapter_id, body FROM chapters WHERE body IS NOT NULL)', 'chapter_id', 'body', G.TARGET, G.LEAST)} SELECT chapter_id, CAST(i AS BIGINT) AS idx, CAST(length(l[i]) AS BIGINT) AS n_chars, md5(l[i]) AS src FROM (SELECT chapter_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)",
+    "small_documents": f"WITH {_paragraphs('(SELECT DISTINCT file_id, txt FROM txt_files WHERE txt IS NOT NULL)', 'file_id', 'txt', 1800, 4)} SELECT file_id, CAST(len(l) AS BIGINT) AS n_paragraphs, length(t) <= 120000 AND len(l) <= 14 AND {S.strip('t')} <> '' AS small FROM p JOIN t USING (file_id)",
+    "footnote_runs": f"""WITH a AS (SELECT DISTINCT chapter_id, idx, src FROM translate_pairs WHERE src IS NOT NULL), m AS (SELECT chapter_id, max(idx) AS last FROM a WHERE chapter_id % 5 = 0 GROUP BY chapter_id),
+        e AS (SELECT chapter_id, idx, src FROM a UNION ALL SELECT chapter_id, CAST(last + k AS INTEGER), k || CASE WHEN chapter_id % 10 = 0 THEN '. this is no citation at all' ELSE '. Brown, A. Old Mills, p. 12' END FROM m, range(1, 4) AS r(k)),
+        o AS (SELECT *, {S.strip('src')} AS p, row_number() OVER (PARTITION BY chapter_id ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY chapter_id) AS total FROM e),
+        f AS (SELECT *, regexp_extract(p, {S.q(_APART)}, 1) AS apart, regexp_extract(p, {S.q(_PLAIN)}, 1) AS plain FROM o), g AS (SELECT *, {S.strip(_REST)} AS rest FROM f),
+        n AS (SELECT *, CASE WHEN contains(p, chr(10)) OR regexp_matches(rest, '^판\\s*[0-9]') OR (length(rest) <= 20 AND NOT regexp_matches(rest, {S.q(T.CITE_MARK)})) THEN NULL WHEN apart <> '' THEN CAST(regexp_replace(apart, '\\s', '', 'g') AS INTEGER)
+            WHEN plain <> '' AND NOT regexp_matches(p, '^\\[?[0-9]{{1,3}}\\]?\\.[0-9]') THEN CAST(plain AS INTEGER) END AS num FROM g),
+        c AS (SELECT *, coalesce(num <> lag(num) OVER w + 1, true) AS fresh FROM n WHERE length(p) <= {G.FOOTNOTE_CHARS} AND num BETWEEN 1 AND 999 WINDOW w AS (PARTITION BY chapter_id ORDER BY idx)),
+        r AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY chapter_id ORDER BY idx) AS run FROM c), k AS (SELECT *, count(*) OVER (PARTITION BY chapter_id, run) AS size FROM r),
+        s AS (SELECT chapter_id, min(place) AS first, max(total) AS total, count(*) AS found, bool_or(regexp_matches(src, {S.q(T.EXPLICIT_CITE)})) AS cites FROM k WHERE size >= {G.RUN} GROUP BY chapter_id)
+        SELECT chapter_id, CAST(idx AS BIGINT) AS idx FROM k SEMI JOIN (SELECT chapter_id FROM s WHERE cites AND NOT (first::DOUBLE / total < {G.EARLY} AND found::DOUBLE / total > {G.DENSE})) USING (chapter_id) WHERE size >= {G.RUN}""",
+    "pick_lines": f"""WITH {_LINES}, q AS (SELECT file_id, page_no * 1000 + line_no AS pos, {S.squeeze('line')} AS s FROM lines), c AS (SELECT *, regexp_matches(s, {S.q(O.PICK_STRONG)}) AS strong FROM q WHERE length(s) BETWEEN 2 AND 60 AND NOT regexp_matches(s, '[.?!。…,]$')),
+        n AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS n, count(*) FILTER (strong) OVER (PARTITION BY file_id) AS m, row_number() OVER (PARTITION BY file_id, strong ORDER BY pos) - 1 AS rank FROM c),
+        r AS (SELECT *, {O.PICK_MOST} - least(m, {O.PICK_MOST}) AS room FROM n), t AS (SELECT *, greatest(1, (n - m) // greatest(room, 1)) AS step FROM r)
+        SELECT file_id, CAST(pos AS BIGINT) AS pos, strong FROM t WHERE CASE WHEN n <= {O.PICK_MOST} THEN true WHEN strong THEN m <= {O.PICK_MOST} OR ceil(rank * {O.PICK_MOST}::DOUBLE / m) * m < (rank + 1) * {O.PICK_MOST} ELSE rank % step = 0 AND rank // step < room END""",
     "furniture_lines": f"WITH {_LINES}, {_KEPT} SELECT file_id, page_no, CAST(line_no AS BIGINT) AS line_no, md5(s) AS line FROM kept",
     "furniture_frequency": f"WITH {_LINES} SELECT file_id, md5(s) AS line, freq, edge, n_pages FROM counts JOIN pages USING (file_id) WHERE freq >= 2 OR edge >= 2",
     "reflowed": f"SELECT chapter_id, md5({_REFLOW}) AS text FROM (SELECT DISTINCT chapter_id, body FROM chapters WHERE body IS NOT NULL)",
