@@ -98,21 +98,24 @@ def mix(texts: DataFrame, targets: list[tuple[str, float, int]], total: int | No
     plan = spark.createDataFrame([(s, shards[s]) for s in names], "source string, n_shards long")
     placed = texts.join(F.broadcast(plan), "source").withColumn("at", F.xxhash64(F.lit(seed), "doc_id"))
     placed = placed.withColumn("shard", F.pmod("at", F.col("n_shards"))).drop("n_shards")
-    sums = {(r.source, r.shard): r.n for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()}
+    # A row for every 50 million tokens: the largest corpus gives some hundred thousand small rows.
+    sums: dict[str, dict[int, int]] = {s: {} for s in names}
+    for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
+        sums[r.source][r.shard] = r.n
 
-    cap = {s: sum(-(-n // BLOCK_TOKENS) for (t, _), n in sums.items() if t == s) * want[s][1] for s in names}
+    cap = {s: sum(-(-n // BLOCK_TOKENS) for n in sums[s].values()) * want[s][1] for s in names}
     blocks = dict(zip(names, sainte_lague([want[s][0] for s in names], size // BLOCK_TOKENS, [cap[s] for s in names])))
     quotas = []
     for s in names:
-        own = sorted(k for k in sums if k[0] == s)
-        sizes = [-(-sums[k] // BLOCK_TOKENS) for k in own]
-        for k, n, q in zip(own, sizes, sainte_lague([float(sums[k]) for k in own], blocks[s], [n * want[s][1] for n in sizes])):
-            quotas.append((s, k[1], q // n, q % n * BLOCK_TOKENS))
+        own = sorted(sums[s])
+        sizes = [-(-sums[s][k] // BLOCK_TOKENS) for k in own]
+        for k, n, q in zip(own, sizes, sainte_lague([float(sums[s][k]) for k in own], blocks[s], [n * want[s][1] for n in sizes])):
+            quotas.append((s, k, q // n, q % n * BLOCK_TOKENS))
     quota = spark.createDataFrame(quotas, "source string, shard long, passes long, more long")
 
     before = W.partitionBy("source", "shard").orderBy("at", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     middle = F.coalesce(F.sum("n_tokens").over(before), F.lit(0)) + F.col("n_tokens") / 2
-    chosen = placed.withColumn("middle", middle).join(F.broadcast(quota) if len(quotas) < 100_000 else quota, ["source", "shard"])
+    chosen = placed.withColumn("middle", middle).join(quota, ["source", "shard"])
     copies = (F.col("passes") + (F.col("middle") < F.col("more")).cast("long")).alias("copies")
     return chosen.select("doc_id", "source", "n_tokens", copies).filter("copies > 0")
 

@@ -45,6 +45,8 @@ DEFAULT_VOCAB = "byte_bpe_50k.tiktoken"
 #: Distinct words of a generation that a worker remembers (it keeps two), and the longest it remembers.
 WORD_MEMO = 300_000
 MEMO_CHARS = 40
+#: Arcs of a generation that a worker remembers; two generations take some 200 MB at most.
+ARC_MEMO = 1_000_000
 
 _LOADED: dict[str, "BpeAutomaton"] = {}
 
@@ -61,6 +63,7 @@ class BpeAutomaton:
         self.merge: dict[tuple[int, int], int] = {}  # pair -> gadget
         self._build()
         self._arcs: dict[int, bool] = {}
+        self._old_arcs: dict[int, bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
         self._old_chunks: dict[str, tuple[int, ...]] = {}  # the generation before
@@ -104,6 +107,8 @@ class BpeAutomaton:
         """Does the state reached by ``p`` have an arc ``t``?"""
         key = p << 20 | t
         got = self._arcs.get(key)
+        if got is None:
+            got = self._old_arcs.get(key)
         if got is None:
             before = 1 << 60  # gadgets below this rank count
             while True:
@@ -119,7 +124,9 @@ class BpeAutomaton:
                     before, p = bp, self.right[p]
                 else:
                     before, t = bt + 1, self.left[t]
-            self._arcs[key] = got
+        if len(self._arcs) > ARC_MEMO:
+            self._old_arcs, self._arcs = self._arcs, {}
+        self._arcs[key] = got
         return got
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:

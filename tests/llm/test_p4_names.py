@@ -127,3 +127,26 @@ def test_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("z", "z"), ("q", None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"n{i:03}"] for i in range(61)} == {"n000"} and got["x"] == got["y"] == "x" and "q" not in got
+
+
+def test_components_of_random_graphs_and_hubs(spark):
+    import random
+
+    from folioforge.llm.components import connected_components
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + i, 2001 + (i * 7) % 50) for i in range(50)]
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {v: find(v) for v in list(root)}
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
