@@ -160,7 +160,7 @@ _INLINE = f"""{_SECTIONS}, p AS (SELECT stem, string_agg(t, chr(10) ORDER BY no,
     u AS (SELECT *, regexp_replace(note, '\\s+$', '') || chr(10) || chr(10) AS head FROM j)"""
 SQL = {
     "nfc_names": f"""SELECT file_id, md5(nfc_normalize(stem)) AS name, CASE WHEN regexp_matches(u, '[A-Z]') AND NOT regexp_matches(u, '[가-힣]') THEN array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(u[i - 1], '\\pL') THEN u[i] ELSE lower(u[i]) END), '') ELSE u END AS title
-        FROM (SELECT *, replace(upper(regexp_replace(stem, '_[^_]*$', '')), 'ß', 'SS') AS u FROM (SELECT DISTINCT file_id, stem FROM txt_files))""",
+        FROM (SELECT *, upper(replace(regexp_replace(stem, '_[^_]*$', ''), 'ß', 'ss')) AS u FROM (SELECT DISTINCT file_id, stem FROM txt_files))""",
     "backfilled": f"""WITH {_N}, {_SIDE}, j AS (SELECT *, {_YAML('published', "coalesce(day, '')")} || {_YAML('publisher', "coalesce(house, '')")} AS lines FROM n LEFT JOIN side USING (stem))
         SELECT note_id, CASE WHEN lines = '' THEN 'nothing' ELSE 'filled' END AS outcome, md5('title: ' || chapter || chr(10) || 'source: ' || stem || chr(10) || lines || 'model: ' || model) AS fm FROM j""",
     "backfill_outcomes": f"""WITH {_N}, {_SIDE} SELECT CASE WHEN day IS NULL AND house IS NULL THEN 'nothing' ELSE 'filled' END AS outcome, count(*) AS n FROM n LEFT JOIN side USING (stem) GROUP BY 1""",
