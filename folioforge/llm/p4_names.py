@@ -326,9 +326,8 @@ def link_names(spellings: DataFrame) -> DataFrame:
     groups = _components(every, sure)
     # Who a short form or a name without middle initial means is settled before names by initial are.
     for how in ("short", "middle"):
-        links = _unique(groups, edges.filter(F.col("how") == how))
-        if not links.isEmpty():
-            groups = _components(every, groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        meant_by = _unique(groups, edges.filter(F.col("how") == how)).withColumnsRenamed({"a": "component", "b": "other"})
+        groups = cut_lineage(groups.join(meant_by.hint("merge"), "component", "left").select("node", F.coalesce("other", "component").alias("component")))
 
     initial = edges.filter("how = 'initial'")
     to_full = initial.filter(~F.col("b").startswith("N:")).select(F.col("a").alias("n"), F.col("b").alias("p")).join(groups.select(F.col("node").alias("p"), "component"), "p")
