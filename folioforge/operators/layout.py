@@ -5,9 +5,10 @@ from __future__ import annotations
 import statistics
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,19 +216,32 @@ def reading_order(width: float, height: float, raw: list[tuple[int, str, float,
     return "\n".join(out)
 
 
-def read_pages(glyphs: DataFrame) -> DataFrame:
-    """``doc_id, page_no, text, ok`` from glyph rows (doc_id, page_no, width, height, idx, ch, left, bottom, right, top), a page a group.
+_GLYPH = ("idx", "ch", "left", "bottom", "right", "top")
+
+
+def read_page_rows(pages: DataFrame) -> DataFrame:
+    """``doc_id, page_no, text, ok`` from a row a page (doc_id, page_no, width, height, glyphs), whose glyphs are an array of (idx, ch, left, bottom, right, top). A narrow map: no glyph is shuffled.
 
     A page that can't be read gives an empty text and ``ok`` false. Order within a page is by ``idx``.
     """
 
-    def page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        try:
-            rows = list(pdf[["idx", "ch", "left", "bottom", "right", "top"]].itertuples(index=False, name=None))
-            text, ok = reading_order(float(pdf["width"].iloc[0]), float(pdf["height"].iloc[0]), rows), True
-        except (ValueError, TypeError, ArithmeticError):
-            text, ok = "", False
-        return pd.DataFrame({"doc_id": [key[0]], "page_no": [key[1]], "text": [text], "ok": [ok]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            glyphs, texts, flags = b.column(4), [], []
+            at, fields = glyphs.offsets.to_pylist(), [glyphs.values.field(i).to_pylist() for i in range(len(_GLYPH))]
+            for i, (w, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                try:
+                    rows = sorted(zip(*(f[at[i] : at[i + 1]] for f in fields)), key=lambda g: g[0])
+                    texts.append(reading_order(float(w), float(h), rows)), flags.append(True)
+                except (ValueError, TypeError, ArithmeticError):
+                    texts.append(""), flags.append(False)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(flags, pa.bool_())], names=["doc_id", "page_no", "text", "ok"])
 
-    return glyphs.groupBy("doc_id", "page_no").applyInPandas(page, "doc_id long, page_no int, text string, ok boolean")
+    glyph = F.transform("glyphs", lambda g: F.struct(*[g[c].cast(k).alias(c) for c, k in zip(_GLYPH, ("long", "string", *["double"] * 4))]))
+    return pages.select("doc_id", "page_no", F.col("width").cast("double"), F.col("height").cast("double"), glyph.alias("glyphs")).mapInArrow(run, "doc_id long, page_no int, text string, ok boolean")
+
+
+def read_pages(glyphs: DataFrame) -> DataFrame:
+    """The same from a row a glyph (doc_id, page_no, width, height, idx, ch, left, bottom, right, top); a page's glyphs are gathered once."""
+    pages = glyphs.groupBy("doc_id", "page_no").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.collect_list(F.struct(*_GLYPH)).alias("glyphs"))
+    return read_page_rows(pages)

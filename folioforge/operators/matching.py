@@ -76,8 +76,8 @@ def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates
     """``note_id, key, how``: the source of each note, exact by the first candidate key that has one, else the most alike of the first candidate that has any.
 
     ``candidates`` is an ordered array of keys. Only notes without an exact hit go to the
-    fuzzy join, which is blocked by shared pairs of letters and length: two keys as alike as
-    CUTOFF have a known number of pairs in common; the ratio then decides.
+    fuzzy join, which is blocked by a candidate's rarest pairs of letters and by length: two
+    keys as alike as CUTOFF have a known number of pairs in common; the ratio then decides.
     """
     cand = notes.select(note_id, F.posexplode(candidates).alias("ord", "cand")).filter("cand <> ''")
     keys = sources.select(F.col(key).alias("key")).filter("key <> ''").distinct()
@@ -85,15 +85,19 @@ def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates
     left = cand.join(exact, note_id, "left_anti")
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
     tried = left.select("cand").distinct()
-    # Pairs are counted by hash and length, small fixed-width rows; the strings join again behind the filter.
-    a = tried.select(F.xxhash64("cand").alias("c"), F.length("cand").alias("lc"), F.explode(grams(F.col("cand"))).alias("g")).withColumn("g", F.xxhash64("g"))
-    b = keys.select(F.xxhash64("key").alias("k"), F.length("key").alias("lk"), F.explode(grams(F.col("key"))).alias("g")).withColumn("g", F.xxhash64("g"))
     near = 2 * F.least("lc", "lk") >= CUTOFF * (F.col("lc") + F.col("lk"))
-    # An unmatched letter spoils two pairs at most, so alike keys have a known part of their pairs in common.
-    spoiled = F.ceil((1 - CUTOFF) * 2 * (F.col("lc") + F.col("lk"))) + 1
-    shared = a.join(b, "g").filter(near).groupBy("c", "k", "lc", "lk").agg(F.count("*").alias("common"))
-    size = tried.select(F.xxhash64("cand").alias("c"), "cand", F.size(grams(F.col("cand"))).alias("m"))
-    pairs = shared.join(size, "c").filter(F.col("common") >= F.col("m") - spoiled).join(keys.select(F.xxhash64("key").alias("k"), "key"), "k").select("cand", "key")
+    # An unmatched letter spoils two pairs at most, so alike keys have a known part of their pairs in common,
+    # and so at least one of a candidate's rarest pairs: frequent pairs, whose join would be large, are never joined on.
+    spoiled = lambda total: F.ceil((1 - CUTOFF) * 2 * total) + 1
+    key_pairs = keys.select(F.xxhash64("key").alias("k"), F.length("key").alias("lk"), F.explode(grams(F.col("key"))).alias("g"))
+    often = key_pairs.groupBy("g").agg(F.count("*").alias("n"))
+    rows = tried.select(F.xxhash64("cand").alias("c"), F.length("cand").alias("lc"), F.explode(grams(F.col("cand"))).alias("g")).join(often, "g", "left")
+    rare = F.row_number().over(W.partitionBy("c").orderBy(F.coalesce("n", F.lit(0)), "g"))
+    rows = rows.withColumn("rare", rare).filter(F.col("n").isNotNull() & (F.col("rare") <= spoiled(F.col("lc") * (2 / CUTOFF)) + 1))
+    met = rows.select("c", "lc", "g").join(key_pairs, "g").filter(near).select("c", "k").distinct()
+    both = met.join(tried.select(F.xxhash64("cand").alias("c"), "cand"), "c").join(keys.select(F.xxhash64("key").alias("k"), "key"), "k")
+    ga = grams(F.col("cand"))
+    pairs = both.filter(F.size(F.array_intersect(ga, grams(F.col("key")))) >= F.size(ga) - spoiled(F.length("cand") + F.length("key"))).select("cand", "key")
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -11,7 +11,7 @@ from folioforge.operators import chapters as C
 from folioforge.operators import outline as O
 from folioforge.operators import cleanup as K
 from folioforge.operators import segment as G
-from folioforge.operators.layout import read_pages
+from folioforge.operators.layout import read_page_rows, read_pages
 from folioforge.plans import sqltext as S
 from folioforge.session import table
 
@@ -141,22 +141,61 @@ def pick_lines(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("book").alias("file_id"), F.col("pos").cast("long").alias("pos"), "strong")
 
 
+def _set_in_glyphs(pages: DataFrame, left: float = 0.0) -> DataFrame:
+    """Pages (file_id, page_no, txt) as rows of glyphs on a grid. A raw line ends with a line feed glyph, as a text layer has it."""
+    lines = F.split(F.regexp_replace("txt", " +", " "), "\n")
+
+    def glyph(idx: Column, ch: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        return F.struct(idx.alias("idx"), ch.alias("ch"), x0.alias("left"), y0.alias("bottom"), x1.alias("right"), y1.alias("top"))
+
+    def line(text: Column, y: Column) -> Column:
+        top, zero = F.lit(1000.0) - y * 14.0, F.lit(0.0)
+        chars = F.filter(F.transform(F.split(F.rtrim(text), ""), lambda ch, x: glyph(y * 2000 + x, ch, F.lit(left) + x * 10.0, top - 10, F.lit(left) + x * 10.0 + 9, top)), lambda g: ~g["ch"].isin("", " "))
+        return F.concat(F.filter(F.array(glyph(y * 2000 - 1, F.lit("\n"), zero, zero, zero, zero)), lambda g: g["idx"] >= 0), chars)
+
+    glyphs = F.flatten(F.transform(lines, line))
+    return pages.select(F.col("file_id").alias("doc_id"), "page_no", F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), glyphs.alias("glyphs")).filter("exists(glyphs, g -> g.ch <> '\\n')")
+
+
 def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Pages set as glyphs on a grid and read back in order."""
-    p = _pages(spark, d).select("file_id", "page_no", "txt")
-    lines = p.select("file_id", "page_no", F.posexplode(F.split(F.regexp_replace("txt", " +", " "), "\n")).alias("y", "line"))
-    chars = lines.select("file_id", "page_no", "y", F.posexplode(F.split(F.rtrim("line"), "")).alias("x", "ch")).filter("ch <> '' and ch <> ' '")
-    # A raw line ends with a line feed glyph, as a text layer has it.
-    x, top = F.col("x") * 10.0, F.lit(1000.0) - F.col("y") * 14.0
-    glyphs = chars.select(F.col("file_id").alias("doc_id"), "page_no", F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), (F.col("y") * 2000 + F.col("x")).alias("idx"), "ch", x.alias("left"), (top - 10).alias("bottom"), (x + 9).alias("right"), top.alias("top"))
-    feeds = lines.filter("y > 0").select(F.col("file_id").alias("doc_id"), "page_no", F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), (F.col("y") * 2000 - 1).alias("idx"), F.lit("\n").alias("ch"), *[F.lit(0.0).alias(c) for c in ("left", "bottom", "right", "top")])
-    got = read_pages(glyphs.unionByName(feeds))
+    """Pages set as glyphs on a grid and read back in order, a row a page."""
+    got = read_page_rows(_set_in_glyphs(_pages(spark, d)))
+    return got.select(F.col("doc_id").alias("file_id"), "page_no", "ok", F.md5(F.regexp_replace("text", r"\s+", "")).alias("text"))
+
+
+def glyph_damaged(spark: SparkSession, d: str) -> DataFrame:
+    """The same where the first glyph of every longer line has lost its box: it is put back beside its neighbour."""
+    pages = _set_in_glyphs(_pages(spark, d))
+    first = F.transform(F.filter(F.col("glyphs"), lambda g: g["ch"] != "\n"), lambda g: F.struct(F.floor(g["idx"] / 2000).alias("y"), g["idx"].alias("idx")))
+    # The smallest index of each line with three glyphs or more.
+    rows = pages.select("doc_id", "page_no", F.inline(first)).groupBy("doc_id", "page_no", "y").agg(F.min("idx").alias("idx"), F.count("*").alias("n")).filter("n >= 3")
+    lost = rows.groupBy("doc_id", "page_no").agg(F.collect_list("idx").alias("lost"))
+    flat = lambda g: F.struct(g["idx"], g["ch"], F.lit(80.0).alias("left"), F.lit(10.0).alias("bottom"), F.lit(80.0).alias("right"), F.lit(10.0).alias("top"))
+    damaged = F.transform("glyphs", lambda g: F.when(F.array_contains(F.coalesce("lost", F.array().cast("array<bigint>")), g["idx"].cast("bigint")), flat(g)).otherwise(g))
+    got = read_page_rows(pages.join(lost, ["doc_id", "page_no"], "left").withColumn("glyphs", damaged))
     return got.select(F.col("doc_id").alias("file_id"), "page_no", "ok", F.md5(F.regexp_replace("text", r"\s+", "")).alias("text"))
 
 
+def glyph_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a row a glyph, in no order."""
+    rows = _set_in_glyphs(_pages(spark, d)).select("doc_id", "page_no", "width", "height", F.inline("glyphs"))
+    return read_pages(rows).select(F.col("doc_id").alias("file_id"), "page_no", "ok", F.md5(F.regexp_replace("text", r"\s+", "")).alias("text"))
+
+
+def glyph_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's hash set in two columns of eight rows, each read to its end before the next; file and page stand in the text."""
+    p = _pages(spark, d).select("file_id", "page_no", F.md5("txt").alias("h")).distinct()
+    words = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.concat(F.substring(F.col("h"), i * 2 + 1, F.lit(2)), F.col("h")))
+    chars = lambda w, i: F.transform(
+        F.split(w, ""), lambda ch, x: F.struct((i * 100 + x).alias("idx"), ch.alias("ch"), (F.floor(i / 8) * 520 + x * 10.0).alias("left"), (F.lit(900.0) - F.pmod(i, F.lit(8)) * 14).alias("bottom"), (F.floor(i / 8) * 520 + x * 10.0 + 9).alias("right"), (F.lit(910.0) - F.pmod(i, F.lit(8)) * 14).alias("top"))
+    )
+    pages = p.select(F.col("file_id").alias("doc_id"), "page_no", F.lit(900.0).alias("width"), F.lit(1000.0).alias("height"), F.filter(F.flatten(F.transform(words, chars)), lambda g: g["ch"] != "").alias("glyphs"))
+    return read_page_rows(pages).select(F.col("doc_id").alias("file_id"), "page_no", "ok", F.md5(F.regexp_replace("text", r"\s+", "")).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, file_chapters, page_chapters, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages)
+    for f in (furniture_lines, furniture_frequency, reflowed, cleaned_books, best_extraction, paragraph_pack, small_documents, merged_paragraphs, footnote_runs, skip_sections, file_chapters, page_chapters, chapter_coverage, page_layout, chapter_bounds, pick_lines, glyph_pages, glyph_damaged, glyph_rows, glyph_columns)
 }
 
 _P = "(SELECT DISTINCT file_id, page_no, txt FROM txt_pages WHERE txt IS NOT NULL)"
@@ -234,5 +273,8 @@ SQL = {
     "chapter_bounds": """WITH RECURSIVE c AS (SELECT DISTINCT file_id, start_pos AS pos FROM chapters WHERE start_pos IS NOT NULL), k AS (SELECT file_id, min(pos) AS pos FROM c GROUP BY file_id UNION ALL
         SELECT k.file_id, (SELECT min(c.pos) FROM c WHERE c.file_id = k.file_id AND c.pos >= k.pos + 1500) FROM k WHERE (SELECT min(c.pos) FROM c WHERE c.file_id = k.file_id AND c.pos >= k.pos + 1500) IS NOT NULL)
         SELECT file_id, CAST(pos AS BIGINT) AS pos, CAST(coalesce(lead(pos) OVER (PARTITION BY file_id ORDER BY pos), 1000000) AS BIGINT) AS end_pos FROM k""",
+    "glyph_damaged": f"SELECT file_id, page_no, true AS ok, md5(regexp_replace(txt, '[\\s\\pC]+', '', 'g')) AS text FROM {_P} WHERE regexp_matches(txt, '[^ \\n]')",
+    "glyph_rows": f"SELECT file_id, page_no, true AS ok, md5(regexp_replace(txt, '[\\s\\pC]+', '', 'g')) AS text FROM {_P} WHERE regexp_matches(txt, '[^ \\n]')",
+    "glyph_columns": f"SELECT file_id, page_no, true AS ok, md5(array_to_string(list_transform(range(0, 16), lambda i: substring(h, i * 2 + 1, 2) || h), '')) AS text FROM (SELECT file_id, page_no, md5(txt) AS h FROM {_P})",
     "glyph_pages": f"SELECT file_id, page_no, true AS ok, md5(regexp_replace(txt, '[\\s\\pC]+', '', 'g')) AS text FROM {_P} WHERE regexp_matches(txt, '[^ \\n]')",
 }

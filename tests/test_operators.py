@@ -292,6 +292,97 @@ def test_model_answers(spark):
     assert {r.k: r.summary for r in summarise(df, "k", "t", OfflineModel()).collect()} == {1: "One. Two.", 2: None}
 
 
+def test_waiting_for_a_provider(spark):
+    """Limited rows are asked for again after a wait on the driver, the others aren't; what stays limited is reported."""
+    from folioforge.operators.model import ask_json, with_waits
+
+    class Limited:
+        def __init__(self, free):
+            self.free = free
+
+        def complete(self, system, prompt, max_tokens):
+            if prompt.startswith("x") and not self.free:
+                raise RateLimited
+            return "no json" if prompt == "bad" else '{"a": "%s", "tags": ["t"]}' % prompt
+
+    df = spark.createDataFrame([(1, "x1"), (2, "y"), (3, "bad"), (4, None), (5, " ")], "k long, p string")
+    waits = []
+    got = with_waits(lambda rows: ask_json(rows, "k", "p", Limited(bool(waits)), ("a", "tags")), df, "k", waits.append)
+    assert sorted((r.k, r.status, r.a) for r in got.collect()) == [(1, "done", "x1"), (2, "done", "y"), (3, "failed", None), (4, "failed", None), (5, "failed", None)]
+    assert waits == [65] and {r.tags for r in got.collect()} == {'["t"]', None}
+    never = with_waits(lambda rows: ask_json(rows, "k", "p", Limited(False), ("a",), ("a",)), df, "k", lambda _: None, 2)
+    assert {r.k: r.status for r in never.collect()} == {1: "limited", 2: "done", 3: "failed", 4: "failed", 5: "failed"}
+
+
+def test_overviews_and_book_notes_of_odd_rows(spark):
+    from folioforge.operators import books as B
+
+    sections = spark.createDataFrame([("a_Jane Doe", 2, "Two", "s2"), ("a_Jane Doe", 1, None, "s1"), ("b", 1, "x", None), ("c", 1, "x", " ")], "book string, no long, title string, summary string")
+    texts = spark.createDataFrame([("a_Jane Doe", "One. Two. Three. Four."), ("a_Jane Doe", "short"), ("z", None)], "book string, text string")
+    prompts = B.overview_prompts(sections, texts, "book", "no", "title", "summary", "text")
+    assert [r.prompt for r in prompts.collect()] == ["1. : s1\n2. Two: s2\n\nOne. Two. Three. Four.\n…\nOne. Two. Three. Four."]
+    o = B.overviews(prompts, "book", OfflineModel(), "m", "2020-01-01").select("status", B.parse_overview(F.col("file")).alias("o")).collect()[0]
+    assert o["status"] == "done" and (o["o"]["author"], o["o"]["category"], o["o"]["summary"]) == ("Jane Doe", "기타", "One. Two.")
+    assert spark.range(1).select(B.parse_overview(F.lit("---\nbook: x\n---\n")).alias("o")).collect()[0]["o"] is None
+
+    class Quoting:
+        def complete(self, system, prompt, max_tokens):
+            return __import__("json").dumps({"body": "## 핵심 인용\n| a | the old mill stood by the river |\n| b | an invented one that is long |\n", "category": "역사 | 문학", "title": "T"})
+
+    books = spark.createDataFrame([("a", "So the old mill stood by the river. Yes."), ("b", None), ("c", "  ")], "book string, text string")
+    rows = B.book_notes(books, "book", "text", Quoting(), "m", "2020-01-01").collect()
+    assert [(r.book, r.category, r.n_cites, r.filename) for r in rows] == [("a", "역사", 1, "a.md")] and "invented" not in rows[0].note and rows[0].note.startswith("---\ntitle: T\n")
+
+
+def test_rewritten_notes(spark):
+    from folioforge.operators import books as B
+
+    body = "## 핵심 요약\n\n" + "a sentence of the old mill. " * 40
+
+    class Short:
+        def complete(self, system, prompt, max_tokens):
+            return '{"body": "## x"}'
+
+    rows = [(1, "s", f"---\ntitle: x\nmodel: m\n---\n{body}"), (2, "s", body), (3, "s_번역", f"---\nmodel: m\n---\n{body}"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k long, stem string, text string")
+    got = {r.k: (r.outcome, r.note) for r in B.rewritten_notes(df, "k", "stem", "text", Short(), "m", "d").collect()}
+    assert got == {1: ("too_short", None), 2: ("not_pipeline", None), 3: ("full_text", None), 4: ("not_pipeline", None)}
+
+
+def test_titles_merging_and_single_chapters_of_odd_rows(spark):
+    books = spark.createDataFrame([(1, None), (2, ""), (3, "Old Mills\nbody")], "k long, text string")
+    titles = spark.createDataFrame([(1, 1, "Old Mills"), (3, 1, "Old Mills"), (3, 2, None), (3, 3, " ")], "k long, no long, title string")
+    assert [(r.k, r.pos, r.title) for r in C.title_marks(books, titles, "k", "text", "no", "title").collect()] == [(3, 0, "Old Mills")]
+    c = spark.createDataFrame([(1, 2, "two"), (1, 1, " one "), (1, 3, None), (2, 1, None)], "book long, no long, body string")
+    t = spark.createDataFrame([(1, 2, "zwei"), (1, 1, " ")], "book long, no long, body string")
+    assert [(r.book, r.text) for r in C.merge_chapters(c, t, "book", "no", "body").collect()] == [(1, "one\n\nzwei")]
+    assert [r.text for r in C.merge_chapters(c, t, "book", "no", "body", False).collect()] == ["one\n\ntwo"]
+    assert [r.k for r in C.single_chapters(books, titles.filter("k = 1"), "k", "text").collect()] == [3]
+    raw = spark.createDataFrame([(1, '{"chapters": [{"title": "a", "page": 1}, {"title": " "}, {"title": null}]}'), (2, "no"), (3, None), (4, '{"chapters": [%s]}' % ", ".join('{"title": "%s", "page": 2}' % ("t" * 100) for _ in range(3)))], "k long, raw string")
+    assert [(r.k, r.no, len(r.title)) for r in C.visual_contents(raw, "k", "raw").collect()] == [(4, 1, 90), (4, 2, 90), (4, 3, 90)]
+
+
+def test_fuzzy_links_agree_with_brute_force(spark):
+    """Blocking by rarest pairs loses no link."""
+    import difflib
+
+    rng = random.Random(21)
+    stems = ["thehistoryofmills", "thehistoryofrivers", "thehistoryofharbours", "quietlanternsofthenorth", "역사의강과방앗간이야기들"]
+    keys = sorted({s + rng.choice(["", "one", "two", "x"]) for s in stems for _ in range(6)})
+    cands = [k[: (i := rng.randrange(len(k)))] + rng.choice(["", "q", "th"]) + k[i + rng.choice([0, 1]) :] for k in keys for _ in range(8)]
+    df = spark.createDataFrame([(i, [c]) for i, c in enumerate(cands)], "id long, c array<string>")
+    got = {r.id: (r.key, r.how) for r in M.link_entities(df, spark.createDataFrame([(k,) for k in keys], "key string"), "id", "c", "key").collect()}
+    for i, c in enumerate(cands):
+        score = {k: difflib.SequenceMatcher(None, k, c).ratio() for k in keys}
+        best = max(score.values())
+        if c in keys:
+            assert got[i] == (c, "exact")
+        elif best >= 0.88:
+            assert got[i][1] == "fuzzy" and score[got[i][0]] == best
+        else:
+            assert i not in got
+
+
 # Notes
 
 

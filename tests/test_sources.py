@@ -1,8 +1,10 @@
 """Sources, sinks and streams."""
 
 import io
+import shutil
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators.model import OfflineModel
@@ -60,6 +62,11 @@ def test_translation_stream_resumes(spark, tmp_path):
     R.translate_stream(R.source(spark, src, schema, 1), state, ckpt, OfflineModel()).awaitTermination()
     got = {(r.idx, r.status) for r in R.latest_state(spark, state).collect()}
     assert got == {(1, "translated"), (2, "dropped"), (3, "translated")}
+    # A batch holds only its own rows, and one that is gone is an error, not an empty state.
+    assert sorted(r.idx for r in spark.read.parquet(f"{state}/batch=1").collect()) == [1, 3]
+    shutil.move(f"{state}/batch=0", f"{state}/gone")
+    with pytest.raises(FileNotFoundError):
+        R.latest_state(spark, state)
 
 
 def test_errors_go_to_the_failed_stage(spark):
