@@ -258,4 +258,18 @@ def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *[F.round(c, 4).alias(c) for c in REPORTED])
 
 
-QUERIES = {"p9_found": p9_found, "p9_kinds": p9_kinds, "p9_stats": p9_stats}
+def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document that are plain counts; those of null and blank texts are 0."""
+    stats = document_statistics(table(spark, sf_dir, "documents"), _common(spark, sf_dir))
+    whole = lambda c: F.coalesce(c, F.lit(0.0)).cast("long").alias(c)
+    return stats.select("doc_id", *[whole(c) for c in ("n_chars", "n_words", "longest_word", "n_lines")], F.round(F.coalesce("mean_word_len", F.lit(0.0)), 4).alias("mean_word_len"))
+
+
+QUERIES = {"p9_counts": p9_counts, "p9_found": p9_found, "p9_kinds": p9_kinds, "p9_stats": p9_stats}
+
+_BLANK = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SQL = {
+    "p9_counts": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^' || '{_BLANK[1:-1]}' || ']')) AS l FROM d)
+        SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word, CAST(len(l) AS BIGINT) AS n_lines,
+            round(coalesce(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / nullif(len(w), 0), 0), 4) AS mean_word_len FROM w""",
+}
