@@ -158,6 +158,29 @@ def frontmatter_value(fm: Column, key: str) -> Column:
     return F.regexp_replace(strip(F.regexp_extract(fm, rf"(?md)^{key}:(.*)$", 1)), '^"+|"+$', "")
 
 
+#: Keys that a backfill writes, and the keys behind which, or else before which, new ones go.
+META_KEYS = ("published", "publisher", "source_created", "source_modified")
+AFTER, BEFORE = ("source", "book", "summary", "tags"), ("model", "generated", "mode", "author", "refined")
+
+
+def upsert_frontmatter(fm: Column, rendered: Column) -> Column:
+    """Front matter with the lines ``rendered`` (``key: value``) set: in place where a key stands, the others together at one point.
+
+    That point is behind the first key of ``AFTER``, else before the first of ``BEFORE``, else
+    the end. Null and empty front matter has no lines.
+    """
+    key = lambda line: F.when(line.contains(":"), F.trim(F.substring_index(line, ":", 1))).otherwise(F.lit(""))
+    lines = F.when(F.coalesce(fm, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(fm, "\n"))
+    values = F.filter(F.split(F.coalesce(rendered, F.lit("")), "\n"), lambda v: v != "")
+    keys = F.transform(lines, key)
+    first = lambda k, i: F.array_position(keys, k) == i + 1
+    kept = F.transform(lines, lambda x, i: F.coalesce(F.when(first(key(x), i), F.get(F.filter(values, lambda v: key(v) == key(x)), F.lit(0))), x))
+    new = F.filter(values, lambda v: key(v).isin(*META_KEYS) & ~F.array_contains(keys, key(v)))
+    behind, before = (F.array_position(F.transform(keys, lambda k: k.isin(*names)), F.lit(True)) for names in (AFTER, BEFORE))  # noqa: B023
+    at = F.when(behind > 0, behind).when(before > 0, before - 1).otherwise(F.size(lines)).cast("int")
+    return F.array_join(F.concat(F.slice(kept, F.lit(1), at), new, F.slice(kept, at + 1, F.size(lines))), "\n")
+
+
 def summary_parts(text: Column) -> Column:
     """(summary, body) of a summary file, hand-edited ones included: without the summary's line all is body."""
     t = F.coalesce(frontmatter(text)["body"], text)

@@ -1,4 +1,4 @@
-"""Functions without a built-in counterpart, as Arrow-batched UDFs: normal form, sequence similarity, title case, front-matter edits."""
+"""Functions without a built-in counterpart, as Arrow-batched UDFs: normal form, sequence similarity, title case."""
 
 from __future__ import annotations
 
@@ -12,11 +12,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-#: Keys that a backfill writes, and the keys behind which or before which they go.
-META_KEYS = ("published", "publisher", "source_created", "source_modified")
-AFTER, BEFORE = ("source", "book", "summary", "tags"), ("model", "generated", "mode", "author", "refined")
-
-
 @pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed normal form; null stays null."""
@@ -46,32 +41,7 @@ def absolute_url(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([None if not link_ else urljoin(b or "", link_) for b, link_ in zip(base, link)])
 
 
-def upsert_lines(lines: list[str], values: dict[str, str]) -> list[str]:
-    """Front-matter lines with ``values`` set: in place where the key stands, else behind the first key of AFTER, before one of BEFORE, or at the end."""
-    left = {k: v for k, v in values.items() if v}
-    key = lambda line: line.split(":", 1)[0].strip() if ":" in line else ""
-    out = [left.pop(key(x)) if key(x) in left else x for x in lines]
-    new = [v for k, v in left.items() if k in META_KEYS]
-    if new:
-        keys = [key(x) for x in out]
-        at = next((i + 1 for i, k in enumerate(keys) if k in AFTER), None)
-        if at is None:
-            at = next((i for i, k in enumerate(keys) if k in BEFORE), len(out))
-        out[at:at] = new
-    return out
-
-
-@pandas_udf(StringType())
-def upsert_frontmatter(fm: pd.Series, rendered: pd.Series) -> pd.Series:
-    """Front matter with the rendered ``key: value`` lines set."""
-    out = []
-    for f, r in zip(fm, rendered):
-        values = {x.split(":", 1)[0]: x for x in (r or "").split("\n") if x}
-        out.append("\n".join(upsert_lines((f or "").split("\n") if f else [], values)))
-    return pd.Series(out)
-
-
 def register(spark: SparkSession) -> None:
     """Make the functions available to SQL."""
-    for name, f in (("nfc", nfc), ("seq_ratio", seq_ratio), ("py_title", english_title), ("absolute_url", absolute_url), ("upsert_frontmatter", upsert_frontmatter)):
+    for name, f in (("nfc", nfc), ("seq_ratio", seq_ratio), ("py_title", english_title), ("absolute_url", absolute_url)):
         spark.udf.register(name, f)

@@ -94,6 +94,15 @@ def book_notes(books: DataFrame, book: str, text: str, model: TextModel, model_n
     return got.select(b.alias(book), "status", F.when(ok, category).alias("category"), F.when(ok, note_filename(b)).alias("filename"), F.when(ok, note).alias("note"), F.when(ok, fixed["n_kept"]).alias("n_cites"))
 
 
+def cited_summaries(chapters: DataFrame, key: str, text: str, model: TextModel, most: int) -> DataFrame:
+    """``key, status, summary, body, n_cites``: a model's summary of each chapter with those of its quotations, ``most`` at most, that stand in the chapter."""
+    asked = chapters.select(F.struct(key, text).alias("row"), F.col(text).alias("prompt"))
+    got = ask_json(asked, "row", "prompt", model, ("summary", "body"), ("summary", "body"))
+    fixed = rebuild_citations(_blank(F.col("body")), _blank(F.col(f"row.{text}")), F.lit(most))
+    ok = F.col("status") == "done"
+    return got.select(F.col(f"row.{key}").alias(key), "status", "summary", F.when(ok, fixed["body"]).alias("body"), F.when(ok, fixed["n_kept"]).alias("n_cites"))
+
+
 def rewritten_notes(notes: DataFrame, key: str, stem: str, text: str, model: TextModel, model_name: str, day: str) -> DataFrame:
     """``key, outcome, note``: notes that a model has written anew. ``outcome`` is the reason for which a note stays, ``failed`` or ``limited``, ``too_short`` (the new one loses too much) or ``done``; ``note`` is null unless done."""
     rows = notes.select(key, stem, text).withColumn("reason", classify_note(_blank(F.col(text)), _blank(F.col(stem))))

@@ -26,6 +26,19 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return summarise(_bodies(spark, d), "chapter_id", "body", OfflineModel()).select("chapter_id", "status", F.md5("summary").alias("summary"), F.md5("body").alias("body"))
 
 
+class Quoter:
+    """A model that quotes the head of a text, and what stands nowhere."""
+
+    def complete(self, system: str, prompt: str, max_tokens: int) -> str:
+        head = " ".join(prompt.replace("|", " ").split())[:40].strip()
+        return json.dumps({"summary": "s", "body": f"## 핵심 요약\n\nx\n\n## 핵심 인용\n\n| 주제 | 인용 |\n|---|---|\n| a | {head} |\n| b | an invented sentence that is long |"}, ensure_ascii=False)
+
+
+def cited_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters' summaries with the quotations that are real, of a model that invents one of two."""
+    return B.cited_summaries(_bodies(spark, d), "chapter_id", "body", Quoter(), 3).select("chapter_id", "status", F.coalesce("n_cites", F.lit(0)).cast("long").alias("n_cites"), F.coalesce(F.col("body").contains("invented"), F.lit(False)).alias("invented"))
+
+
 class BusyModel(OfflineModel):
     """Asks to wait for every second prompt, until it has waited."""
 
@@ -107,7 +120,7 @@ def offline_translation(spark: SparkSession, d: str) -> DataFrame:
     return new.select("chapter_id", "idx", "status", F.md5(F.coalesce("tgt", F.lit(""))).alias("tgt"))
 
 
-QUERIES = {f.__name__: f for f in (summaries, limited_summaries, overview_prompts, overviews, book_notes, rewritten_notes, rewrite_outcomes, offline_translation)}
+QUERIES = {f.__name__: f for f in (summaries, limited_summaries, cited_summaries, overview_prompts, overviews, book_notes, rewritten_notes, rewrite_outcomes, offline_translation)}
 
 
 def _last(p: str) -> str:
@@ -130,7 +143,11 @@ _PROMPT = f"""l AS (SELECT stem, string_agg(line, chr(10) ORDER BY note_id, line
 _DROP = f"({S.strip('src')} = '' OR (length({S.strip('src')}) <= {T.DROP_CHARS} AND regexp_matches({S.strip('src')}, {S.q(T.NUMBER_ONLY)})))"
 _SKIP = "(" + " OR ".join([f"{S.strip('src')} = ''", *(f"regexp_matches({S.strip('src')}, {S.q(x)})" for x in (T.DAGGER, T.NUMBERED_CITATION, T.BULLET_CITATION)), *(f"(length({S.strip('src')}) < {T.SHORT_CITATION} AND regexp_matches({S.strip('src')}, {S.q(x)}))" for x in (T.FOOTNOTE_START, T.CITED_URL))]) + ")"
 _ECHO = f"'번역: ' || array_to_string(list_transform({S.tokens(_last('src'))}, lambda w: repeat(substring('가나다라마바사아자차카타파하', CAST(list_sum(list_transform(string_split(w, ''), lambda c: ord(c))) % 14 + 1 AS INTEGER), 1), greatest(1, length(w) // 2))), ' ')"
+_QUOTE = S.strip(f"substring({S.squeeze("replace(body, '|', ' ')")}, 1, 40)")
+_BARE = S.sub(S.sub(S.sub("q", r"\([^)]*\)"), f"{T.WS}+"), "^[\"“”‘’ ]+|[\"“”‘’ ]+$")
 SQL = {
+    "cited_summaries": f"""SELECT chapter_id, CASE WHEN {S.strip("coalesce(body, '')")} = '' THEN 'failed' ELSE 'done' END AS status, CAST(coalesce({S.strip('body')} <> '' AND length({_BARE}) >= 10 AND NOT contains(q, '---') AND contains({S.sub('body', f'{T.WS}+')}, {_BARE}), false) AS BIGINT) AS n_cites,
+        false AS invented FROM (SELECT *, {_QUOTE} AS q FROM (SELECT DISTINCT chapter_id, body FROM chapters))""",
     "summaries": f"""WITH c AS (SELECT chapter_id, {_last("coalesce(body, '')")} AS t FROM (SELECT DISTINCT chapter_id, body FROM chapters)), s AS (SELECT chapter_id, t, {_sentences('t')} AS s FROM c)
         SELECT chapter_id, CASE WHEN t = '' THEN 'failed' ELSE 'done' END AS status, CASE WHEN t <> '' THEN md5(substring(array_to_string(s[1:2], ' '), 1, 300)) END AS summary, CASE WHEN t <> '' THEN md5('## 핵심 요약' || chr(10) || chr(10) || array_to_string(s[1:5], ' ')) END AS body FROM s""",
     "limited_summaries": f"""WITH c AS (SELECT chapter_id, {_last("coalesce(body, '')")} AS t FROM (SELECT DISTINCT chapter_id, body FROM chapters)), s AS (SELECT chapter_id, t, {_sentences('t')} AS s FROM c)

@@ -75,7 +75,7 @@ def backfilled(spark: SparkSession, d: str) -> DataFrame:
     side = table(spark, d, "papermeta").groupBy("stem").agg(F.min(F.nullif(T.strip(F.col("published_date")), F.lit(""))).alias("day"), F.min(F.nullif(T.strip(F.col("publisher")), F.lit(""))).alias("house"))
     fm = F.concat(F.lit("title: "), "chapter", F.lit("\nsource: "), "stem", F.lit("\nmodel: "), "model")
     j = n.join(side, "stem", "left").withColumn("lines", N.front_lines(published=F.col("day"), publisher=F.col("house")))
-    return j.select("note_id", F.when(F.col("lines") == "", "nothing").otherwise("filled").alias("outcome"), F.md5(P.upsert_frontmatter(fm, F.col("lines"))).alias("fm"))
+    return j.select("note_id", F.when(F.col("lines") == "", "nothing").otherwise("filled").alias("outcome"), F.md5(B.upsert_frontmatter(fm, F.col("lines"))).alias("fm"))
 
 
 def model_json(spark: SparkSession, d: str) -> DataFrame:

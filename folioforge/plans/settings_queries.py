@@ -72,6 +72,17 @@ def arxiv_entries(spark: SparkSession, d: str) -> DataFrame:
     return p.select("paper_id", m["title"].alias("title"), m["author"].alias("author"), m["publisher"].alias("publisher"))
 
 
+def crossref_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Which of a CrossRef answer's dates counts: print, online, issued; and the names of several authors."""
+    p = table(spark, d, "papermeta").select("paper_id").distinct()
+    k = F.col("paper_id") % 4
+    day = lambda year: F.struct(F.array(F.array(F.lit(year), (F.col("paper_id") % 12 + 1).cast("int"))).alias("date-parts"))
+    names = F.array(F.struct(F.lit("A").alias("given"), F.col("paper_id").cast("string").alias("family")), F.struct(F.lit(None).cast("string").alias("given"), F.lit("B").alias("family")))
+    msg = F.to_json(F.struct(F.struct(names.alias("author"), F.when(k == 0, day(2001)).alias("published-print"), F.when(k <= 1, day(2002)).alias("published-online"), F.when(k <= 2, day(2003)).alias("issued")).alias("message")))
+    m = B.crossref_metadata(msg)
+    return p.select("paper_id", m["published_date"].alias("day"), m["author"].alias("author"))
+
+
 def sidecars(spark: SparkSession, d: str) -> DataFrame:
     """Sidecar JSON of papers, read back."""
     p = table(spark, d, "papermeta").select("paper_id", "title", "author", "published_date", "publisher").distinct().fillna("")
@@ -257,7 +268,7 @@ def noted_categories(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        inbox_rows, ole_files, converted_texts, sniffed, paper_precedence, arxiv_entries, sidecars, pdf_info, book_roots, split_parts, block_counts, shrinking, language_files, autostart, failures, processed_stems, file_counts, interface_texts,
+        inbox_rows, ole_files, converted_texts, sniffed, paper_precedence, arxiv_entries, crossref_dates, sidecars, pdf_info, book_roots, split_parts, block_counts, shrinking, language_files, autostart, failures, processed_stems, file_counts, interface_texts,
         engines, capped_inputs, prompts, note_paths, vault_registry, last_log_lines, bookmark_levels, raw_texts, glyph_kinds, written_chapters, noted_categories,
     )
 }
@@ -272,6 +283,7 @@ SQL = {
     "sniffed": f"SELECT file_id, CASE WHEN length(txt) * 1000 > 26214400 THEN 'too_large' WHEN file_id % 5 IN (0, 3) THEN 'pdf' WHEN file_id % 5 = 1 THEN 'text' WHEN file_id % 5 = 2 THEN 'html' ELSE 'unsupported' END AS kind FROM {_F}",
     "paper_precedence": "SELECT paper_id, CASE WHEN paper_id % 5 = 0 THEN CASE WHEN paper_id % 2 = 0 THEN 'arxiv' ELSE '' END WHEN paper_id % 5 IN (1, 2, 3) THEN 'crossref' ELSE '' END AS title FROM (SELECT DISTINCT paper_id FROM papermeta)",
     "arxiv_entries": f"SELECT paper_id, {S.squeeze('t')} AS title, 'A. B, C D' AS author, 'arXiv' AS publisher FROM (SELECT DISTINCT paper_id, coalesce(title, '') AS t, published_date FROM papermeta)",
+    "crossref_dates": "SELECT paper_id, CASE paper_id % 4 WHEN 0 THEN '2001-' WHEN 1 THEN '2002-' WHEN 2 THEN '2003-' ELSE '' END || CASE WHEN paper_id % 4 < 3 THEN lpad((paper_id % 12 + 1)::VARCHAR, 2, '0') ELSE '' END AS day, 'A ' || paper_id || ', B' AS author FROM (SELECT DISTINCT paper_id FROM papermeta)",
     "sidecars": "SELECT DISTINCT paper_id, coalesce(title, '') AS title, coalesce(author, '') AS author, coalesce(published_date, '') AS published_date, coalesce(publisher, '') AS publisher FROM papermeta",
     "pdf_info": f"SELECT file_id, strftime(max(mtime), '%Y-%m-%d') AS source_created, strftime(max(mtime), '%Y') AS source_modified FROM {_F} GROUP BY file_id",
     "book_roots": f"SELECT stem, coalesce(min('new/' || file_id) FILTER (file_id % 3 = 0), min('old/' || file_id)) AS path FROM {_F} WHERE stem <> '' GROUP BY stem",

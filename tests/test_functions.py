@@ -103,11 +103,17 @@ def test_yaml_and_front_matter(spark):
     assert tuple(one(spark, "all body", B.summary_parts)) == ("", "all body")
 
 
-def test_upsert_goes_behind_or_before():
-    new = {"published": "published: 2020"}
-    assert P.upsert_lines(["title: a", "source: b", "model: m"], new) == ["title: a", "source: b", "published: 2020", "model: m"]
-    assert P.upsert_lines(["title: a", "model: m"], new) == ["title: a", "published: 2020", "model: m"]
-    assert P.upsert_lines(["published: 1999"], new) == ["published: 2020"] and P.upsert_lines([], {}) == []
+@pytest.mark.parametrize(
+    "fm, rendered, want",
+    [
+        ("title: a\nsource: b\nmodel: m", "published: 2020\n", "title: a\nsource: b\npublished: 2020\nmodel: m"), ("title: a\nmodel: m", "published: 2020", "title: a\npublished: 2020\nmodel: m"), ("published: 1999", "published: 2020", "published: 2020"),
+        ("title: a", "publisher: p\npublished: 2020\nother: x", "title: a\npublisher: p\npublished: 2020"), ("published: 1\npublished: 2\ntags: t", "published: 3\npublisher: p", "published: 3\npublished: 2\ntags: t\npublisher: p"),
+        ("", "published: 2020", "published: 2020"), (None, "", ""), ("title: a", None, "title: a"), ("no key\nsummary: s\nbook: b", "source_created: c", "no key\nsummary: s\nsource_created: c\nbook: b"),
+    ],
+)
+def test_upsert_goes_behind_or_before(spark, fm, rendered, want):
+    df = spark.createDataFrame([(fm, rendered)], "fm string, r string")
+    assert df.select(B.upsert_frontmatter(F.col("fm"), F.col("r")).alias("x")).collect()[0].x == want
 
 
 def test_python_functions(spark):
