@@ -242,31 +242,35 @@ def longer_words(counts: DataFrame, keys: DataFrame, by: list[str], head: int) -
 
 
 def terminality(contexts: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each (before, word) of ``keys``: counts in its context and of the word anywhere, and of longer words in its place."""
+    """For each (before, word) of ``keys``: counts in its context and of the word anywhere, and of longer words in its place.
+
+    Steps go through the checkpoint folder: each is planned for itself, so the driver never
+    holds one plan of them all.
+    """
     pairs = keys.select("before", "word").distinct()
-    words = keys.select("word").distinct()
-    here = longer_words(contexts, pairs, ["before"], 1)
-    anywhere = contexts.groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("stop").alias("stop"))
-    every = longer_words(anywhere, words, [], 2)
+    here = cut_lineage(longer_words(contexts, pairs, ["before"], 1))
+    anywhere = cut_lineage(contexts.groupBy("word").agg(F.sum("inner").alias("inner"), F.sum("stop").alias("stop")))
+    every = longer_words(anywhere, keys.select("word").distinct(), [], 2)
     # Words of one letter: all longer words with that letter, a row a letter.
     one = anywhere.filter(F.length("word") > 1).groupBy(F.substring("word", 1, 1).alias("word")).agg(F.sum(F.col("inner") + F.col("stop")).alias("longer"))
     every = every.unionByName(one.select("word", F.lit(0).cast("long").alias("inner"), F.lit(0).cast("long").alias("stop"), "longer"))
-    every = every.groupBy("word").agg(F.sum("inner").alias("inner_any"), F.sum("stop").alias("stop_any"), F.sum("longer").alias("longer_any"))
+    every = cut_lineage(every.groupBy("word").agg(F.sum("inner").alias("inner_any"), F.sum("stop").alias("stop_any"), F.sum("longer").alias("longer_any")))
     out = keys.join(here.hint("merge"), ["before", "word"], "left").join(every.hint("merge"), "word", "left")
     return out.fillna(0, ["inner", "stop", "longer", "inner_any", "stop_any", "longer_any"])
 
 
-def limited_values(bad: DataFrame) -> DataFrame:
-    """(note_id, field) of values that end openly at a length, in characters or bytes, at which many values of their model do."""
+def with_limits(bad: DataFrame) -> DataFrame:
+    """``note_id, field, before, word, limited`` of open values: is one of a length, in characters or bytes, at which many values of its model end openly?"""
     units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("n_chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("n_bytes").alias("size")))
-    sizes = bad.select("note_id", F.coalesce("model", F.lit("")).alias("model"), "field", F.explode(units).alias("s")).select("note_id", "model", "field", "s.*")
+    sizes = bad.select("note_id", "field", "state", "before", "word", F.coalesce("model", F.lit("")).alias("model"), F.explode(units).alias("s")).select("*", "s.unit", "s.size").drop("s")
     by = sizes.groupBy("model", "field", "unit", "size").agg(F.count("*").alias("n"))
     # A row a different length: a window over them is small, however many values a model has.
     w = W.partitionBy("model", "field", "unit").orderBy("size")
     near = [F.when(F.abs(step("size").over(w) - F.col("size")) == 1, step("n").over(w)).otherwise(F.lit(0)) for step in (F.lag, F.lead)]
     at = by.withColumn("beside", F.coalesce(F.greatest(*near), F.lit(0)))
-    limits = at.filter((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_PEAK * F.col("beside")) & (F.col("size") >= LIMIT_LEAST)).select("model", "field", "unit", "size")
-    return sizes.join(limits.hint("merge"), ["model", "field", "unit", "size"], "left_semi").select("note_id", "field")
+    limits = at.filter((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_PEAK * F.col("beside")) & (F.col("size") >= LIMIT_LEAST)).select("model", "field", "unit", "size", F.lit(True).alias("at"))
+    loose = sizes.filter("state = 'open'").join(limits.hint("merge"), ["model", "field", "unit", "size"], "left")
+    return loose.groupBy("note_id", "field", "before", "word").agg(F.max(F.coalesce("at", F.lit(False))).alias("limited"))
 
 
 def _verdict(limited: Column) -> Column:
@@ -299,18 +303,15 @@ def _verdict(limited: Column) -> Column:
 
 def open_cuts(seen: DataFrame) -> DataFrame:
     """(note_id, field) of values that close with a plain sign of a cut, or openly and by terminality in a cut."""
-    bad = seen.filter("state is not null").select("note_id", "model", "field", "n_chars", "n_bytes", "state", "before", "word").distinct()
-    marks = bad.select("note_id", "field", "state", "before", "word", F.lit(False).alias("limited"))
-    limits = limited_values(bad).select("note_id", "field", *[F.lit(None).cast("string").alias(c) for c in ("state", "before", "word")], F.lit(True).alias("limited"))
-    marks = marks.unionByName(limits).groupBy("note_id", "field").agg(*[F.max(c).alias(c) for c in ("state", "before", "word", "limited")])
-    loose = marks.filter("state = 'open'").select("note_id", "field", "before", "word", "limited")
+    bad = cut_lineage(seen.filter("state is not null").select("note_id", "model", "field", "n_chars", "n_bytes", "state", "before", "word").distinct())
+    loose = cut_lineage(with_limits(bad))
     keys = loose.groupBy("before", "word", "limited").agg(F.count("*").alias("closing"))
     keys = keys.withColumn("closing", F.when(F.col("limited"), F.lit(0)).otherwise(F.col("closing")))
     contexts = seen.filter("state is null").select("before", "word", "inner", "stop")
     judged = terminality(contexts, keys).select("before", "word", "limited", _verdict(F.col("limited")).alias("is_cut"))
     # One verdict a context: a context that very many values share is one row here, and AQE splits its rows in the join.
     hit = loose.join(judged.filter("is_cut").hint("merge"), ["before", "word", "limited"], "left_semi")
-    return bad.filter("state = 'cut'").select("note_id", "field").unionByName(hit.select("note_id", "field"))
+    return cut_lineage(bad.filter("state = 'cut'").select("note_id", "field").unionByName(hit.select("note_id", "field")))
 
 
 def ends_early(short: str, long: str) -> bool:
@@ -401,7 +402,7 @@ def early_copies(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     seen = cut_lineage(look(values)) if seen is None else seen
     asked = seen.filter("state = 'open' and bands is not null").select("note_id", *_CLASS, "bands")
     keys = asked.select(F.explode("bands").alias("bucket"))
-    near = cut_lineage(near_texts(values, bloom.build(keys, "bucket")).groupBy(*_CLASS).agg(F.first("text").alias("text"), F.first("buckets").alias("buckets")))
+    near = cut_lineage(near_texts(values, bloom.build(keys, "bucket")).distinct())
     short = asked.select(*_CLASS, F.explode("bands").alias("bucket")).distinct()
     long = near.select(F.col("field"), F.col("fp").alias("long_fp"), F.col("n_chars").alias("long_chars"), F.explode("buckets").alias("bucket"))
 
@@ -422,6 +423,8 @@ def early_copies(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     pairs = short.join(heads.filter("n > 1").hint("merge"), ["field", "bucket"])
     pairs = pairs.filter("head.long_chars > n_chars or head.long_chars = n_chars and head.long_fp > fp")
     pairs = cut_lineage(pairs.select(*_CLASS, "bucket", F.col("head.long_fp").alias("long_fp"), F.col("head.long_chars").alias("long_chars"), "n"))
+    if pairs.isEmpty():
+        return asked.select("note_id", "field").limit(0)
     found = early(pairs.select(*_CLASS, "long_fp", "long_chars").distinct())
 
     # Only buckets of three texts or more have a pair without the longest one.
