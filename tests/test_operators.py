@@ -314,6 +314,21 @@ def test_waiting_for_a_provider(spark):
     assert {r.k: r.status for r in never.collect()} == {1: "limited", 2: "done", 3: "failed", 4: "failed", 5: "failed"}
 
 
+def test_glossary_of_a_translation(spark):
+    from folioforge.operators.model import translate_rows, translate_system
+
+    pairs = [(f"n{i}", f"이름{i}") for i in range(100)]
+    assert translate_system() == "translate" and "n20 = 이름20" in translate_system(pairs) and "n19 =" not in translate_system(pairs)
+
+    class Named:
+        def complete(self, system, prompt, max_tokens):
+            return "오래된 방앗간 이름99" if "n99 = 이름99" in system else None
+
+    df = spark.createDataFrame([(1, "The old mill n99."), (2, None)], "k long, src string")
+    assert {r.k: (r.tgt, r.status) for r in translate_rows(df, ["k"], "src", Named(), pairs).collect()} == {1: ("오래된 방앗간 이름99", "translated"), 2: (None, "failed")}
+    assert {r.status for r in translate_rows(df, ["k"], "src", Named()).collect()} == {"failed"}
+
+
 def test_overviews_and_book_notes_of_odd_rows(spark):
     from folioforge.operators import books as B
 

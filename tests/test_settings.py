@@ -21,3 +21,19 @@ def test_files(spark):
     assert [r.n for r in t.select(S.translated_blocks(F.col("t")).alias("n")).collect()] == [1, 1, 0]
     a, b = spark.createDataFrame([("x", "/1"), ("x", "/0")], "s string, p string"), spark.createDataFrame([("x", "/a"), ("y", "/b")], "s string, p string")
     assert {r.s: r.p for r in S.books_listing([a, b], "s", "p").collect()} == {"x": "/0", "y": "/b"}
+
+
+def test_shared_folder_is_named_by_the_cluster(spark, monkeypatch):
+    """A folder of this machine serves local mode only."""
+    import types
+
+    import pytest
+
+    from folioforge import session
+
+    fake = lambda master, base: types.SimpleNamespace(conf={"spark.checkpoint.dir": base}, sparkContext=types.SimpleNamespace(master=master, applicationId="app", getConf=lambda: {}))
+    assert session.shared_base(fake("spark://host", "hdfs:///x/")) == "hdfs:///x"
+    assert session.shared_folder(fake("spark://host", "hdfs:///x"), "q", "/a") != session.shared_folder(fake("spark://host", "hdfs:///x"), "q", "/b")
+    with pytest.raises(ValueError):
+        session.shared_base(fake("spark://host", None))
+    assert session.shared_base(fake("local[2]", None)) == session.shared_base(fake("local[2]", None))
