@@ -132,7 +132,7 @@ def _without_end(text: str) -> str:
     return text[:begin] + " ".join(text[begin:].split()[:-2])
 
 
-def _pairs_of(texts: list[tuple[str, bool]]) -> Counter[tuple[str, str]]:
+def _pairs_of(texts: list[tuple[str, bool]]) -> dict[tuple[str, str], int]:
     """Neighbouring words of the texts as they stand; the second of a pair is never a text's begin. A text that ends openly leaves out the place of its end."""
     words = []
     for t, whole in texts:
@@ -141,7 +141,12 @@ def _pairs_of(texts: list[tuple[str, bool]]) -> Counter[tuple[str, str]]:
             if own := line.split():
                 own[-1] += _EOL
                 words += own
-    return Counter(zip(words, words[1:]))
+    # Pairs are counted as numbers: a sort of integers is cheaper than a hash of string pairs.
+    no = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(no.__getitem__, words), dtype=np.int64, count=len(words))
+    pairs, n = np.unique(ids[:-1] * len(no) + ids[1:], return_counts=True)
+    word = list(no)
+    return {(word[a], word[b]): k for a, b, k in zip((pairs // max(1, len(no))).tolist(), (pairs % max(1, len(no))).tolist(), n.tolist())}
 
 
 class Contexts:
@@ -169,7 +174,7 @@ class Contexts:
     def flush(self) -> dict[str, pa.Array]:
         keys = list(self.inner.keys() | self.stop.keys())
         out = {"before": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string())}
-        out |= {"inner": pa.array([self.inner[k] for k in keys], pa.int64()), "stop": pa.array([self.stop[k] for k in keys], pa.int64())}
+        out |= {"inner": pa.array([self.inner.get(k, 0) for k in keys], pa.int64()), "stop": pa.array([self.stop.get(k, 0) for k in keys], pa.int64())}
         self.inner.clear(), self.stop.clear()
         return out
 
