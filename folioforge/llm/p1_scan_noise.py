@@ -58,8 +58,10 @@ _SKELETON = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "5"
 
 def page_number(line: str) -> bool:
     """Is the line only a printed page number, in any usual dress, misread digits included?"""
-    s = _MARKS.sub("", line)
-    m = _PAGE.match(s)
+    # The pattern has eight parts at most, so most lines need no look at it.
+    if len(line.split()) > 8:
+        return False
+    m = _PAGE.match(_MARKS.sub("", line))
     if not m:
         return False
     core = m.group(1)
@@ -165,6 +167,9 @@ def words_of(line: str) -> list[str]:
     """The words of a line: letters and digits, with signs that may be misread ones inside. Most words need no pattern."""
     out = []
     for raw in line.split():
+        if raw.isalnum():
+            out.append(raw)
+            continue
         token = raw.rstrip(_EDGE_MARKS + "!|").lstrip(_EDGE_MARKS)
         if token.isalnum():
             out.append(token)
@@ -210,7 +215,7 @@ def page_words(text: str, skip: list[int] | None) -> tuple[list[tuple[int, str]]
                 last = (no, whole, sign)
             if found and found[-1] == whole:
                 found.pop()
-        words.extend((no, w) for w in found)
+        words += [(no, w) for w in found]
     return words, cuts, first, last
 
 
