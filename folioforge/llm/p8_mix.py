@@ -48,7 +48,8 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
             low = mid
         else:
             high = mid
-    got = at(high)
+    # A seat less each: one right at the divisor may be a tie, which the heap decides.
+    got = [max(0, g - 1) for g in at(high)]
     heap = [(-w / (2 * g + 1), i) for i, (w, g, c) in enumerate(zip(weights, got, caps)) if g < c]
     heapq.heapify(heap)
     left = seats - sum(got)

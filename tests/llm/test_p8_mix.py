@@ -1,6 +1,6 @@
 """Mixing: quotients against a naive count, caps, and the shares that come out."""
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from folioforge.llm import p8_mix as p8
@@ -17,6 +17,7 @@ def _naive(weights, seats, caps):
 
 
 @settings(max_examples=200, deadline=None)
+@example([(6, 2), (9, 3), (12, 4), (36, 11)], 19)
 @given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 30)), min_size=1, max_size=7), st.integers(0, 90))
 def test_sainte_lague_is_the_highest_quotients(rows, seats):
     weights, caps = [float(w) for w, _ in rows], [c for _, c in rows]
