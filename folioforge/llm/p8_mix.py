@@ -145,13 +145,15 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source with a target: whether no text is used too often, and whether its share is met as nearly as whole texts allow, half of the largest one off."""
+    """Of each source with a target: whether no text is used too often, and whether its share is met as nearly as whole texts allow, half of the largest one off. Sources without text leave their share to the others."""
     largest = distinct_texts(table(spark, sf_dir, "documents")).groupBy("source").agg(F.max("n_tokens").alias("largest"))
     every = W.partitionBy(F.lit(0))  # a row a source
     r = p8_report(spark, sf_dir).join(largest, "source", "left")
     r = r.withColumn("half", F.coalesce("largest", F.lit(0)) / 2 + BLOCK_TOKENS).withColumn("total", F.sum("tokens_used").over(every)).withColumn("halves", F.sum("half").over(every))
-    off = F.abs(F.col("tokens_used") - F.col("target_share") * F.col("total"))
-    return r.select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (off <= F.col("half") + F.col("target_share") * F.col("halves")).alias("share_met"))
+    own = F.when(F.col("tokens_had") > 0, F.col("target_share")).otherwise(F.lit(0.0))
+    r = r.withColumn("share", own / F.sum(own).over(every))
+    off = F.abs(F.col("tokens_used") - F.col("share") * F.col("total"))
+    return r.select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (off <= F.col("half") + F.col("share") * F.col("halves")).alias("share_met"))
 
 
 QUERIES = {"p8_check": p8_check, "p8_mix": p8_mix, "p8_report": p8_report}

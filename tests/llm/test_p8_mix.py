@@ -65,7 +65,7 @@ def test_queries_with_sql_agree(spark, sf):
     from folioforge.llm import registry
 
     c = duckdb.connect()
-    for t in ("documents", "txt_files", "chapters", "split_limits"):
+    for t in ("documents", "txt_files", "chapters", "split_limits", "mix_targets"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, sf).toPandas()
