@@ -95,9 +95,9 @@ def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates
     rare = F.row_number().over(W.partitionBy("c").orderBy(F.coalesce("n", F.lit(0)), "g"))
     rows = rows.withColumn("rare", rare).filter(F.col("n").isNotNull() & (F.col("rare") <= spoiled(F.col("lc") * (2 / CUTOFF)) + 1))
     met = rows.select("c", "lc", "g").join(key_pairs, "g").filter(near).select("c", "k").distinct()
-    both = met.join(tried.select(F.xxhash64("cand").alias("c"), "cand"), "c").join(keys.select(F.xxhash64("key").alias("k"), "key"), "k")
-    ga = grams(F.col("cand"))
-    pairs = both.filter(F.size(F.array_intersect(ga, grams(F.col("key")))) >= F.size(ga) - spoiled(F.length("cand") + F.length("key"))).select("cand", "key")
+    # The pairs of each string are made once, before the join, not once a candidate pair.
+    both = met.join(tried.select(F.xxhash64("cand").alias("c"), "cand", grams(F.col("cand")).alias("ga")), "c").join(keys.select(F.xxhash64("key").alias("k"), "key", grams(F.col("key")).alias("gk")), "k")
+    pairs = both.filter(F.size(F.array_intersect("ga", "gk")) >= F.size("ga") - spoiled(F.length("cand") + F.length("key"))).select("cand", "key")
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

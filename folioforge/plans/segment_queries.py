@@ -159,7 +159,9 @@ def _set_in_glyphs(pages: DataFrame, left: float = 0.0) -> DataFrame:
 
 def glyph_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages set as glyphs on a grid and read back in order, a row a page."""
-    got = read_page_rows(_set_in_glyphs(_pages(spark, d)))
+    # A page is much work for few bytes: pages are spread over all cores, not packed by size.
+    pages = _pages(spark, d).repartition(spark.sparkContext.defaultParallelism, "file_id", "page_no")
+    got = read_page_rows(_set_in_glyphs(pages))
     return got.select(F.col("doc_id").alias("file_id"), "page_no", "ok", F.md5(F.regexp_replace("text", r"\s+", "")).alias("text"))
 
 
