@@ -5,10 +5,10 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from folioforge.functions.python import nfc
 from folioforge.functions.text import WS, asks_for_text, despace, entity_key, hangul_ratio, note_filename, squeeze, strip
@@ -16,6 +16,8 @@ from folioforge.operators.model import VALID_RATIO
 
 #: Least likeness of two keys, least length of a quotation without white space.
 CUTOFF, QUOTE_CHARS = 0.88, 10
+#: Candidates and keys that are held against each other at once; length up to which keys that one letter parts are joined.
+CAND_BLOCK, KEY_BLOCK, ONE_LETTER = 8_000, 16_000, 255
 
 
 def pending(items: DataFrame, done: DataFrame, on: list[str], size: str | None = None) -> DataFrame:
@@ -60,53 +62,121 @@ def first_by_key(sources: DataFrame, name: str, order: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.min_by(name, F.struct(order, name)).alias(name), F.count("*").alias("n_sources"))
 
 
-def likeness(cands: list[str], keys: list[str], cutoff: float) -> list[float]:
-    """Ratio of each key to its candidate, 0 where a bound shows that it is below the cutoff; runs of one candidate share their index."""
-    out, last, m = [], None, difflib.SequenceMatcher()
-    for c, k in zip(cands, keys):
-        if c != last:
-            m.set_seq2(c)
-            last = c
-        m.set_seq1(k)
-        out.append(m.ratio() if m.quick_ratio() >= cutoff else 0.0)
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``owner, code`` of each pair of neighbouring letters; the code holds the pair and how often it came before in its text."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = owner[1:] == owner[:-1]
+    owner, code = owner[:-1][inside], (chars[:-1] << np.uint64(21) | chars[1:])[inside]
+    order = np.lexsort((code, owner))
+    owner, code = owner[order], code[order]
+    place = np.arange(len(code))
+    first = np.ones(len(code), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
+    before = place - np.maximum.accumulate(np.where(first, place, 0))
+    return owner, code << np.uint64(21) | np.minimum(before, (1 << 21) - 1).astype(np.uint64)
+
+
+def _matches(total: np.ndarray, cutoff: float) -> np.ndarray:
+    """Least number of matching letters at which two texts of so many letters together reach the cutoff."""
+    m = np.maximum(0, np.floor(cutoff * total / 2).astype(np.int64) - 1)
+    for _ in range(3):
+        m += 2.0 * m / total < cutoff
+    return m
+
+
+def closest(cands: list[str], keys: list[str], cutoff: float) -> list[tuple[str, float]]:
+    """For each candidate the key of the highest ratio, the last by code points of equals, and that ratio; 0 if none reaches the cutoff.
+
+    M matching letters of T are in T - 2M + 1 runs at most, as an unmatched letter ends a run; so
+    two texts have 3M - T - 1 pairs of letters in common at least. The pairs are counted over an
+    index of the keys; a ratio is made only where the bound that they set could beat the best so far.
+    """
+    keys = sorted(keys)
+    n_key = np.array([len(k) for k in keys], np.int64)
+    owner, code = _pairs(keys)
+    order = np.argsort(code, kind="stable")
+    owner = owner[order]
+    codes, starts = np.unique(code[order], return_index=True)
+    ends = np.append(starts[1:], len(owner))
+    c_owner, c_code = _pairs(cands)
+    at = np.searchsorted(codes, c_code)
+    known = at < len(codes)
+    known[known] = codes[at[known]] == c_code[known]
+    c_owner, at = c_owner[known], at[known]
+    cut = np.searchsorted(c_owner, np.arange(len(cands) + 1))
+    least: dict[int, np.ndarray] = {}
+    m, out = difflib.SequenceMatcher(), []
+    for i, c in enumerate(cands):
+        n = len(c)
+        if n not in least:
+            most = _matches(n + n_key, cutoff)
+            least[n] = np.where(most <= np.minimum(n, n_key), 3 * most - n - n_key - 1, np.iinfo(np.int64).max)
+        lists = [owner[starts[f] : ends[f]] for f in at[cut[i] : cut[i + 1]]]
+        common = np.bincount(np.concatenate(lists), minlength=len(keys)) if lists else np.zeros(len(keys), np.int64)
+        near = np.flatnonzero(common >= least[n])
+        total = n + n_key[near]
+        bound = 2.0 * np.minimum((total + 1 + common[near]) // 3, np.minimum(n, n_key[near])) / total
+        best = (cutoff, -1)
+        m.set_seq2(c)
+        for j in np.lexsort((near, bound))[::-1]:
+            k = int(near[j])
+            if (bound[j], k) <= best:
+                break
+            m.set_seq1(keys[k])
+            if (m.quick_ratio(), k) > best:
+                best = max(best, (m.ratio(), k))
+        out.append((keys[best[1]], best[0]) if best[1] >= 0 else ("", 0.0))
     return out
 
 
 def link_entities(notes: DataFrame, sources: DataFrame, note_id: str, candidates: str, key: str) -> DataFrame:
     """``note_id, key, how``: the source of each note, exact by the first candidate key that has one, else the most alike of the first candidate that has any.
 
-    ``candidates`` is an ordered array of keys. Only notes without an exact hit go to the
-    fuzzy join, which is blocked by a candidate's rarest pairs of letters and by length: two
-    keys as alike as CUTOFF have a known number of pairs in common; the ratio then decides.
+    ``candidates`` is an ordered array of keys. Only candidates of notes without an exact hit go to
+    the fuzzy steps. Those that one letter parts from a key are joined on the letters left, and no
+    key further off can be more alike. Of the others every block meets every block of keys once, and
+    a block's best key is found there, so that no pair of strings is shuffled; the best of the blocks is taken at last.
     """
-    cand = notes.select(note_id, F.posexplode(candidates).alias("ord", "cand")).filter("cand <> ''")
+    # Shuffled once with all that the steps need of it, and no filter that only some of them could push below: none makes the candidates again.
+    cand = notes.select(note_id, candidates).repartition(note_id).select(note_id, F.posexplode_outer(candidates).alias("ord", "cand")).filter("cand <> ''")
     keys = sources.select(F.col(key).alias("key")).filter("key <> ''").distinct()
-    exact = cand.join(keys, cand["cand"] == keys["key"]).groupBy(note_id).agg(F.min_by("key", "ord").alias("key")).withColumn("how", F.lit("exact"))
-    left = cand.join(exact, note_id, "left_anti")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
+    hit = F.min(F.when(F.col("key").isNotNull(), F.struct("ord", "key"))).alias("hit")
+    met = cand.join(keys, cand["cand"] == keys["key"], "left").groupBy(note_id).agg(hit, F.collect_list(F.struct("ord", "cand")).alias("own"))
+    exact = met.filter("hit is not null").select(note_id, "hit.key", F.lit("exact").alias("how"))
+    left = met.filter("hit is null").select(note_id, F.explode("own").alias("own")).select(note_id, "own.*")
     tried = left.select("cand").distinct()
-    near = 2 * F.least("lc", "lk") >= CUTOFF * (F.col("lc") + F.col("lk"))
-    # An unmatched letter spoils two pairs at most, so alike keys have a known part of their pairs in common,
-    # and so at least one of a candidate's rarest pairs: frequent pairs, whose join would be large, are never joined on.
-    spoiled = lambda total: F.ceil((1 - CUTOFF) * 2 * total) + 1
-    key_pairs = keys.select(F.xxhash64("key").alias("k"), F.length("key").alias("lk"), F.explode(grams(F.col("key"))).alias("g"))
-    often = key_pairs.groupBy("g").agg(F.count("*").alias("n"))
-    rows = tried.select(F.xxhash64("cand").alias("c"), F.length("cand").alias("lc"), F.explode(grams(F.col("cand"))).alias("g")).join(often, "g", "left")
-    rare = F.row_number().over(W.partitionBy("c").orderBy(F.coalesce("n", F.lit(0)), "g"))
-    rows = rows.withColumn("rare", rare).filter(F.col("n").isNotNull() & (F.col("rare") <= spoiled(F.col("lc") * (2 / CUTOFF)) + 1))
-    met = rows.select("c", "lc", "g").join(key_pairs, "g").filter(near).select("c", "k").distinct()
-    # The pairs of each string are made once, before the join, not once a candidate pair.
-    both = met.join(tried.select(F.xxhash64("cand").alias("c"), "cand", grams(F.col("cand")).alias("ga")), "c").join(keys.select(F.xxhash64("key").alias("k"), "key", grams(F.col("key")).alias("gk")), "k")
-    pairs = both.filter(F.size(F.array_intersect("ga", "gk")) >= F.size("ga") - spoiled(F.length("cand") + F.length("key"))).select("cand", "key")
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            r = likeness(rows.column(0).to_pylist(), rows.column(1).to_pylist(), CUTOFF)
+            r = [difflib.SequenceMatcher(None, k, c).ratio() for c, k in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(r, pa.float64())], names=["cand", "key", "ratio"])
 
-    scored = pairs.sortWithinPartitions("cand").mapInArrow(ratio, "cand string, key string, ratio double").filter(F.col("ratio") >= CUTOFF)
-    best = scored.groupBy("cand").agg(F.max_by("key", F.struct("ratio", "key")).alias("key"))
-    fuzzy = left.join(best, "cand").groupBy(note_id).agg(F.min_by("key", "ord").alias("key")).withColumn("how", F.lit("fuzzy"))
+    def best_of_block(c: pa.Table, k: pa.Table) -> pa.Table:
+        cands = c.column("cand").to_pylist()
+        found = closest(cands, k.column("key").to_pylist(), CUTOFF) if cands and k.num_rows else []
+        rows = [(x, *y) for x, y in zip(cands, found) if y[1]]
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate((("cand", pa.string()), ("key", pa.string()), ("ratio", pa.float64())))})
+
+    best = lambda scored: scored.groupBy("cand").agg(F.max(F.struct("ratio", "key")).alias("b")).select("cand", "b.*")
+    without = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))
+    less = lambda c: F.explode(F.array_distinct(F.when(F.length(c) <= ONE_LETTER + 1, without(c)))).alias("h")
+    longer = tried.select("cand", less(F.col("cand"))).join(keys.select("key", F.xxhash64("key").alias("h")), "h")
+    shorter = tried.select("cand", F.xxhash64("cand").alias("h")).join(keys.select("key", less(F.col("key"))), "h")
+    pairs = longer.unionByName(shorter).select("cand", "key")
+    # Two unmatched letters, both of the key, are the best that is left: 2n of 2n + 2 letters match.
+    beyond = 2 * F.length("cand") / (2 * F.length("cand") + 2)
+    one = best(pairs.mapInArrow(ratio, "cand string, key string, ratio double")).filter((F.length("cand") <= ONE_LETTER) & (F.col("ratio") >= CUTOFF) & (F.col("ratio") > beyond))
+    rest = tried.join(one, "cand", "left_anti")
+    n_blocks = lambda df, size, name: df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias(name))
+    sizes = F.broadcast(n_blocks(tried, CAND_BLOCK, "n_c").crossJoin(n_blocks(keys, KEY_BLOCK, "n_k")))
+    block = lambda text, n: F.pmod(F.xxhash64(text), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    c_side = rest.crossJoin(sizes).select(block("cand", "n_c").alias("bc"), every("n_k").alias("bk"), "cand")
+    k_side = keys.crossJoin(sizes).select(every("n_c").alias("bc"), block("key", "n_k").alias("bk"), "key")
+    blocks = c_side.groupBy("bc", "bk").cogroup(k_side.groupBy("bc", "bk")).applyInArrow(best_of_block, "cand string, key string, ratio double")
+    found = one.unionByName(best(blocks))
+    fuzzy = left.join(found, "cand").groupBy(note_id).agg(F.min_by("key", "ord").alias("key")).withColumn("how", F.lit("fuzzy"))
     return exact.unionByName(fuzzy)
 
 

@@ -516,3 +516,29 @@ def test_model_tier_splits_a_book_without_headings(spark):
     assert [r.body for r in rows[:4]] == [f"{t}\n{b}".strip() for t, b in zip(names, bodies)]
     for bad in (Picks(names[:2]), Picks(names, [{"idx": 10**6}]), Picks(names, [{"title": "x"}]), Picks(names, [{"idx": 0}] * 40), OfflineModel()):
         assert O.split_text(text, pick=lambda t: O.pick_chapters(t, bad))[0] == "single"
+
+
+def _rows_out(plan):
+    """Rows that each node of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    rows = plan.metrics().get("numOutputRows")
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return ([rows.get().value()] if rows.isDefined() else []) + [n for p in below for n in _rows_out(p)]
+
+
+def test_fuzzy_links_of_titles_of_a_pattern(spark, monkeypatch):
+    """Titles of the same few words have nearly all pairs of letters in common: no step gives a row a pair of strings, over any number of blocks each link is the one of get_close_matches."""
+    import difflib
+
+    monkeypatch.setattr(M, "CAND_BLOCK", 200, raising=False)
+    monkeypatch.setattr(M, "KEY_BLOCK", 400, raising=False)
+    rng = random.Random(34)
+    title = lambda: rng.choice(["quiet", "slow", "hidden", "northern"]) + rng.choice(["lanterns", "footnotes", "harbours", "orchards"]) + rng.choice(["afterdark", "inpractice", "ofthecoast"])
+    keys = sorted({title() + format(i * 7, "x") for i in range(1200)} | {"가나다라마바사아자" + "하" * (i % 3) for i in range(3)} | {"z" * 300, "z" * 298 + "y", "a"})
+    damaged = [k[: (i := rng.randrange(len(k) + 1))] + rng.choice(["q", "", "qq", "addpdf"]) + k[i + rng.choice([0, 0, 1]) :] for k in rng.sample(keys, 250)]
+    cands = [c for c in [*damaged, *(title() for _ in range(20)), "z" * 301, "가나다라마바사자", "b", "nothingalikeatall"] if c and c not in keys]
+    df = M.link_entities(spark.createDataFrame([(i, [c]) for i, c in enumerate(cands)], "id long, c array<string>"), spark.createDataFrame([(k,) for k in keys], "key string"), "id", "c", "key")
+    got = {r.id: r.key for r in df.collect()}
+    assert got == {i: m[0] for i, c in enumerate(cands) if (m := difflib.get_close_matches(c, keys, n=1, cutoff=0.88))}
+    assert len(got) > 150
+    assert max(_rows_out(df._jdf.queryExecution().executedPlan())) <= 40 * (len(keys) + len(cands))  # a row for each letter, not for each pair
